@@ -168,6 +168,19 @@ def score(docs: DataFrame, model: str, text: str = "text", name: str = "score")
     return df.mapInArrow(run, df.schema.add(name, "double"))
 
 
+def keep_good(docs: DataFrame, model: str, least: float = 0.3) -> DataFrame:
+    """Rows of ``docs`` that score ``least`` or more, as they are."""
+    cols = docs.columns
+    at = cols.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                yield b.filter(pa.array([s >= least for s in _score(model, rows_of(b.column(at)))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
