@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import get_file, make_dir, put_file, record, rows_of, shared_path, slices, windows
 
+#: Few rows are gone through more often, up to about this many updates.
+UPDATES = 24_000
 BITS, WORD = 20, re.compile(r"\w+|[^\w\s]+")
 _MIX, _SHAPE, _PAIR, _AGAIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5)
 
@@ -116,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, epochs: int
         for b in batches:
             for y, at, x in zip(*(b.column(c).to_pylist() for c in ("label", "at", "x"))):
                 seen.append((y, np.frombuffer(at, "<i4"), np.frombuffer(x, "<f4")))
-        for _ in range(epochs):
+        for _ in range(max(epochs, min(40, UPDATES // max(1, len(seen))))):
             for y, at, x in seen:
                 model.learn(at, x.astype(float), y)
         data = io.BytesIO()
