@@ -16,7 +16,7 @@ from marlstone.llm.op5_spans import dedup_spans
 from marlstone.llm.op6_lines import dedup_lines
 from marlstone.llm.op7_packing import pack_documents
 from marlstone.llm.op8_quality import keep_good, train
-from marlstone.llm.op10_simhash import dedup_near
+from marlstone.llm.op10_similar import dedup_similar
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints, that of the least id."""
-    return dedup_near(docs)
+    """One document, that of least id, of each group of texts linked by SimHash at a
+    similarity of 0.8 of five-word shingles."""
+    return dedup_similar(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
