@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _local_roots: dict[str, str] = {}
 
@@ -71,6 +72,10 @@ def get_file(uri: str) -> bytes:
         return f.read()
 
 
+def with_field(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(name, kind)])
+
+
 def list_files(uri: str, suffix: str) -> list[str]:
     at, path = file_at(uri)
     found = at.get_file_info(fs.FileSelector(path, recursive=True))

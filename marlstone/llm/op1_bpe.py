@@ -19,8 +19,9 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from .common import record, rows_of, slices
+from .common import record, rows_of, slices, with_field
 from .encoders import WordEncoder, as_bytes, byte_level_pieces
 
 _NONE = np.int64(1) << 60
@@ -202,7 +203,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
                 ends = np.cumsum([0, *(len(x) // 4 for x in got)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[*keep, ids])
 
-    schema = df.schema.add(ids, "array<int>")
+    schema = with_field(df.schema, ids, T.ArrayType(T.IntegerType()))
     return df.mapInArrow(run, schema)
 
 

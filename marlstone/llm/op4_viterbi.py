@@ -17,8 +17,9 @@ import ahocorasick
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from .common import record, rows_of, slices, windows
+from .common import record, rows_of, slices, windows, with_field
 
 SPACE, PENALTY = "▁", 10.0
 
@@ -102,7 +103,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", n_tokens: str =
             got = pa.array([c.text(t or "") for t in rows_of(b.column(at))], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*keep, n_tokens])
 
-    return df.mapInArrow(run, df.schema.add(n_tokens, "long"))
+    return df.mapInArrow(run, with_field(df.schema, n_tokens, T.LongType()))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

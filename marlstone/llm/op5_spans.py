@@ -125,7 +125,7 @@ def without_spans(text: str | None, spans: list[dict] | None) -> tuple[str, list
 def _joined(docs: DataFrame, words: int, alone: int) -> DataFrame:
     spans = repeated(docs, words, alone)
     on = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == spans["_id"]
-    return docs.join(spans.hint("shuffle_hash"), on, "left").drop("_id")
+    return docs.join(spans.hint("shuffle_hash"), on, "left").drop(spans["_id"])
 
 
 def dedup_spans(docs: DataFrame, words: int = WORDS, alone: int = ALONE) -> DataFrame:

@@ -148,12 +148,14 @@ class LineRuns:
             yield pa.RecordBatch.from_pydict({"keys": [len(batch)], "new": [int(new.sum())]})
 
         done = parts.mapInArrow(run, "keys long, new long").agg(F.sum("keys"), F.sum("new")).collect()[0]
+        if done[0] is None:  # no key at all: no task ran, and there is no run
+            return 0, 0
         self.levels, self.batches = levels, self.batches + 1
         kept = {n for level in levels for n in level}
         at, root = file_at(self.at)
         for n in {own, *live, *(m for _, m in merges)} - kept:
             at.delete_dir(f"{root}/{n}")
-        return done[0] or 0, done[1] or 0
+        return done[0], done[1]
 
     def frequent(self, least: int) -> DataFrame:
         """hi, lo, last of the keys of at least ``least`` documents."""
@@ -199,7 +201,7 @@ def _joined(docs: DataFrame, drops: DataFrame) -> DataFrame:
     """docs with ``_drop``.  The side with the lists is hashed, so texts are moved
     but not sorted; ids hardly repeat, so no partition is hot."""
     on = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == drops["_id"]
-    return docs.join(drops.hint("shuffle_hash"), on, "left").drop("_id")
+    return docs.join(drops.hint("shuffle_hash"), on, "left").drop(drops["_id"])
 
 
 def dedup_lines(docs: DataFrame, least: int = 40, documents: int = 5, batches: int = 4) -> DataFrame:

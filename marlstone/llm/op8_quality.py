@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
-from .common import get_file, make_dir, put_file, record, rows_of, shared_path, slices, windows
+from .common import get_file, make_dir, put_file, record, rows_of, shared_path, slices, windows, with_field
 
 #: Few rows are gone through more often, up to about this many updates.
 UPDATES = 24_000
@@ -89,6 +90,12 @@ class Ftrl:
         self.n[at] += g * g
 
 
+def _packed(model: Ftrl) -> bytes:
+    data = io.BytesIO()
+    np.save(data, model.weights().astype("<f4"))
+    return zlib.compress(data.getvalue(), 1)
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.expr(f"crc32(cast(cast({doc_id} as string) as binary)) % 5 = 0")
 
@@ -121,9 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, epochs: int
         for _ in range(max(epochs, min(40, UPDATES // max(1, len(seen))))):
             for y, at, x in seen:
                 model.learn(at, x.astype(float), y)
-        data = io.BytesIO()
-        np.save(data, model.weights().astype("<f4"))
-        yield pa.RecordBatch.from_pydict({"weights": [zlib.compress(data.getvalue(), 1)]})
+        yield pa.RecordBatch.from_pydict({"weights": [_packed(model)]})
 
     used = rows.mapInArrow(features, "doc_id long, label int, at binary, x binary")
     # One ordered partition of a bounded number of rows; the order makes the weights reproducible.
@@ -131,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, epochs: int
     got = ordered.mapInArrow(learn, "weights binary").collect()
     folder = shared_path(spark, "quality-model")
     make_dir(folder)
-    put_file(f"{folder}/weights", got[0].weights)
+    put_file(f"{folder}/weights", got[0].weights if got else _packed(Ftrl()))
     return f"{folder}/weights"
 
 
@@ -167,7 +172,7 @@ def score(docs: DataFrame, model: str, text: str = "text", name: str = "score")
             for b in slices(whole, text):
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_score(model, rows_of(b.column(at))), pa.float64())], names=[*keep, name])
 
-    return df.mapInArrow(run, df.schema.add(name, "double"))
+    return df.mapInArrow(run, with_field(df.schema, name, T.DoubleType()))
 
 
 def keep_good(docs: DataFrame, model: str, least: float = 0.3) -> DataFrame:
