@@ -142,9 +142,9 @@ OTHERS: dict[str, tuple[Query, str]] = {
     "query_params": (_query_params, "SELECT * FROM customer WHERE c_mktsegment = 'AUTOMOBILE' AND c_acctbal > 1000"),
     "enum_decode": (_enum_decode, "SELECT doc_id, CASE quality WHEN 0 THEN 'Poor' WHEN 1 THEN 'Good' END AS name FROM labels"),
     "flag_test": (_flag_test, "SELECT p_partkey, p_size FROM part WHERE (p_size & 12) = 12"),
-    "catalog_fields": (_catalog_fields, "SELECT * FROM (VALUES ('User', 10, 'user_id', 'uuid', 0), ('User', 11, 'user_name', 'utf8', 1), ('User', 12, 'old', 'i32', 2), ('Extra', 20, 'note', 'utf8', 0)) t(type_path, field_id, field_name, type, slot)"),
-    "identity_diff": (_identity_diff, "SELECT * FROM (VALUES ('fieldRenamed', 1, 11), ('fieldChanged', 1, 11), ('fieldRemoved', 1, 12), ('fieldAdded', 1, 13), ('fieldRemoved', 2, 20), ('typeRenamed', 1, NULL), ('typeRemoved', 2, NULL)) t(change, type_id, field_id)"),
-    "identity_tombstones": (_tombstones, "SELECT * FROM (VALUES ('type', 2, NULL, 1), ('field', 1, 12, 1), ('field', 2, 20, 1)) t(what, type_id, field_id, retired_at)"),
+    "catalog_fields": (_catalog_fields, "SELECT type_path, CAST(field_id AS BIGINT) AS field_id, field_name, type, CAST(slot AS BIGINT) AS slot FROM (VALUES ('User', 10, 'user_id', 'uuid', 0), ('User', 11, 'user_name', 'utf8', 1), ('User', 12, 'old', 'i32', 2), ('Extra', 20, 'note', 'utf8', 0)) t(type_path, field_id, field_name, type, slot)"),
+    "identity_diff": (_identity_diff, "SELECT change, CAST(type_id AS BIGINT) AS type_id, CAST(field_id AS BIGINT) AS field_id FROM (VALUES ('fieldRenamed', 1, 11), ('fieldChanged', 1, 11), ('fieldRemoved', 1, 12), ('fieldAdded', 1, 13), ('fieldRemoved', 2, 20), ('typeRenamed', 1, NULL), ('typeRemoved', 2, NULL)) t(change, type_id, field_id)"),
+    "identity_tombstones": (_tombstones, "SELECT what, CAST(type_id AS BIGINT) AS type_id, CAST(field_id AS BIGINT) AS field_id, CAST(retired_at AS BIGINT) AS retired_at FROM (VALUES ('type', 2, NULL, 1), ('field', 1, 12, 1), ('field', 2, 20, 1)) t(what, type_id, field_id, retired_at)"),
     "uuid_v7": (_uuid_v7, "SELECT n_nationkey, true AS ok FROM nation"),
     "now_constant": (_now, "SELECT n_nationkey, false AS past FROM nation"),
 }
