@@ -45,7 +45,7 @@ class Versions:
 
 
 OWN = Versions()
-SCALARS = {"i8", "i16", "i32", "i64", "u8", "u16", "u32", "u64", "f32", "f64", "bool", "utf8", "utf16", "uuid", "decimal", "date", "time", "datetime", "bytes"}
+SCALARS = set("bool bytes date datetime decimal f32 f64 i8 i16 i32 i64 time u8 u16 u32 u64 utf8 utf16 uuid".split())
 ALIASES = {"d128": "decimal"}
 GENERICS = {"vector", "list", "stream"}
 

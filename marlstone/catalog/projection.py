@@ -12,6 +12,10 @@ def _span(n: tuple[int, int]) -> dict:
     return {"start": n[0], "end": n[1]}
 
 
+def _units(*docs: ast.Document) -> list[dict]:
+    return [dict(sourceUnitId=i, source=d.source) for i, d in enumerate(docs)]
+
+
 def _attribute(a: ast.Attribute) -> dict:
     if a.syntax == "[]" and (len(a.names) != 1 or a.has_arguments):
         raise Rejected([Problem("SCH005", "attribute groups, arguments and empty brackets have no canonical form", a.span)])
@@ -59,7 +63,7 @@ def project_schema(doc: ast.Document, strict: bool = False) -> list[dict]:
 
 
 def contract(doc: ast.Document, versions: Versions = OWN) -> dict:
-    envelope = {"stage": "syntax-projection", "contractFormatVersion": versions.contract, "languageVersion": versions.language, "canonicalizationVersion": versions.canonical, "schemaFingerprint": None, "sourceUnits": [{"sourceUnitId": 0, "source": doc.source}]}
+    envelope = {"stage": "syntax-projection", "contractFormatVersion": versions.contract, "languageVersion": versions.language, "canonicalizationVersion": versions.canonical, "schemaFingerprint": None, "sourceUnits": _units(doc)}
     return {"envelope": envelope, "types": project_schema(doc, strict=True)}
 
 
@@ -117,7 +121,7 @@ def operations(doc: ast.Document, versions: Versions = OWN) -> dict:
                 raise Rejected([Problem("OPR001", f"duplicate operation {key}", d.span)])
             keys.add(key)
             found.append({"kind": d.kind, "name": d.name, "parameters": [{"name": p.name, "canonicalType": canonical_type(p.type)} for p in d.params], "returnType": canonical_type(d.returns) if d.returns else None, "body": {"text": d.body_text, "span": _span(d.body_span)}, "identityKey": key, "span": _span(d.span)})
-    envelope = {"stage": "operation-syntax-projection", "contractFormatVersion": versions.operation, "languageVersion": versions.language, "sourceUnits": [{"sourceUnitId": 0, "source": doc.source}]}
+    envelope = {"stage": "operation-syntax-projection", "contractFormatVersion": versions.operation, "languageVersion": versions.language, "sourceUnits": _units(doc)}
     return {"envelope": envelope, "operations": found}
 
 

@@ -14,6 +14,12 @@ def manifest(types):
     return {"formatVersion": OWN.manifest, "types": [{"canonicalPath": p, "typeId": i, "kind": k, "fields": [{"canonicalName": n, "fieldId": f, "virtualFieldIndex": s} for n, f, s in fs]} for p, i, k, fs in types]}
 
 
+def at(x, *path):
+    for p in path:
+        x = x[p]
+    return x
+
+
 def types(source):
     return projection.project_schema(projection.parse(source))
 
@@ -70,7 +76,7 @@ def test_artifacts_round_trip_strictly():
     bad["envelope"]["stage"] = "other"
     assert codes(projection.read_contract, to_json(bad)) == ["ART002"]
     bad = copy.deepcopy(c)
-    bad["types"][0]["span"]["end"] = 999
+    at(bad, "types", 0, "span")["end"] = 999
     assert codes(projection.read_contract, to_json(bad)) == ["ART004"]
 
 
@@ -78,7 +84,7 @@ def test_operation_bodies_are_slices():
     o = projection.operations(projection.parse("query q(a: i32) -> [utf8] { a }\nudf f(v: utf8) { v.lower() }"))
     assert [x["identityKey"] for x in o["operations"]] == ["query:q(i32)->[utf8]", "udf:f(utf8)->unit"]
     assert projection.read_operations(to_json(o)) == o
-    o["operations"][0]["body"]["text"] = "b"
+    at(o, "operations", 0, "body")["text"] = "b"
     assert codes(projection.read_operations, to_json(o)) == ["OPR014"]
     assert codes(projection.operations, projection.parse("udf f(a: i32) { a } udf f(b: i32) { b }")) == ["OPR001"]
 
@@ -93,13 +99,13 @@ def test_binding_goes_by_name():
     [
         (lambda m: m.update(formatVersion="x"), "ID001"),
         (lambda m: m.update(types=[]), "ID004"),
-        (lambda m: m["types"][0].update(canonicalPath=["Other"]), "ID005"),
-        (lambda m: m["types"][0].update(typeId=0), "ID002"),
-        (lambda m: m["types"][0]["fields"].pop(), "ID006"),
-        (lambda m: m["types"][0]["fields"].append({"canonicalName": "z", "fieldId": 99, "virtualFieldIndex": None}), "ID007"),
-        (lambda m: m["types"][0].update(kind="class"), "ID008"),
-        (lambda m: m["types"][0]["fields"][0].update(fieldId=11), "ID009"),
-        (lambda m: m["types"][0]["fields"][0].update(canonicalName=""), "ID010"),
+        (lambda m: at(m, "types", 0).update(canonicalPath=["Other"]), "ID005"),
+        (lambda m: at(m, "types", 0).update(typeId=0), "ID002"),
+        (lambda m: at(m, "types", 0, "fields").pop(), "ID006"),
+        (lambda m: at(m, "types", 0, "fields").append({"canonicalName": "z", "fieldId": 99, "virtualFieldIndex": None}), "ID007"),
+        (lambda m: at(m, "types", 0).update(kind="class"), "ID008"),
+        (lambda m: at(m, "types", 0, "fields")[0].update(fieldId=11), "ID009"),
+        (lambda m: at(m, "types", 0, "fields")[0].update(canonicalName=""), "ID010"),
     ],
 )
 def test_bad_manifests(change, code):
@@ -121,7 +127,7 @@ def test_resolution_and_reader():
     assert codes(identity.read_resolved, to_json(c | {"schemaFingerprint": "0" * 64})) == ["RES014"]
     assert codes(identity.read_resolved, to_json(c | {"formatVersion": "x"})) == ["RES011"]
     aliases = identity.bind(types("class A { a: d128, b: DateTime<UTC> }"), manifest([(["A"], 1, "class", [("a", 1, None), ("b", 2, None)])]))
-    assert [f["canonicalType"] for f in identity.resolve(aliases)["types"][0]["fields"]] == [{"builtin": ["decimal"]}, {"builtin": ["datetime"]}]
+    assert [f["canonicalType"] for f in at(identity.resolve(aliases), "types", 0, "fields")] == [{"builtin": ["decimal"]}, {"builtin": ["datetime"]}]
     unknown = identity.bind(types("class A { a: Uuid }"), manifest([(["A"], 1, "class", [("a", 1, None)])]))
     assert codes(identity.resolve, unknown) == ["RES001"]
 
@@ -129,7 +135,7 @@ def test_resolution_and_reader():
 def test_units_share_a_table_of_types():
     a = identity.bind(types("namespace m; table A { @@id: uuid }"), manifest([(["m", "A"], 1, "table", [("id", 1, 0)])]))
     b = identity.bind(types("namespace m; class B { a: &A, c: m::A }"), manifest([(["m", "B"], 2, "class", [("a", 2, 0), ("c", 3, 1)])]))
-    fields = identity.resolve([a, b])["types"][1]["fields"]
+    fields = at(identity.resolve([a, b]), "types", 1, "fields")
     assert fields[0]["canonicalType"] == {"reference": {"user": {"path": ["m", "A"], "typeId": 1}}} and fields[1]["canonicalType"]["user"]["typeId"] == 1
     assert set(codes(identity.resolve, [a, a])) == {"RES005", "RES006", "RES007"}
 
@@ -158,7 +164,7 @@ def test_history_keeps_tombstones():
     assert identity.read_history(to_json(h)) == h
     assert identity.evolve(h, new)["revision"] == 1
     back = copy.deepcopy(new)
-    back["types"][0]["fields"].append(new["types"][0]["fields"][0] | {"fieldId": 12, "canonicalName": "z", "virtualFieldIndex": 2})
+    at(back, "types", 0, "fields").append(at(new, "types", 0, "fields", 0) | {"fieldId": 12, "canonicalName": "z", "virtualFieldIndex": 2})
     assert codes(identity.evolve, h, back) == ["ID016", "ID026"]
     gone = identity.evolve(h, {"manifestVersion": OWN.manifest, "types": []})
     assert [t["typeId"] for t in gone["retiredTypes"]] == [1] and [f["fieldId"] for f in gone["retiredFields"]] == [10, 11, 12, 13]
