@@ -9,13 +9,15 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+T_ = TypeVar("T_")
 _local_roots: dict[str, str] = {}
 
 
@@ -82,6 +84,18 @@ def list_files(uri: str, suffix: str) -> list[str]:
     return sorted(x.path for x in found if x.type == fs.FileType.File and x.path.endswith(suffix))
 
 
+_held: dict[tuple, object] = {}
+
+
+def hold(key: tuple, make: Callable[[], T_]) -> T_:
+    """The one large thing (a vocabulary with its memo) that a Python worker keeps
+    from task to task; that of another operator goes, as executors are shared."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def rows_of(column: pa.Array | pa.ChunkedArray, step: int = 128) -> Iterator[object]:
     """Values one by one, converted a few at a time so that a batch of large
     texts never exists twice."""

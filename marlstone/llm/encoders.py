@@ -11,12 +11,11 @@ import os
 import re
 from array import array
 from collections.abc import Callable
-from functools import lru_cache
 
 import public_tokenizers
 import regex
 
-from .common import windows, words_at_spaces
+from .common import hold, windows, words_at_spaces
 
 
 class Memo(dict):
@@ -107,8 +106,11 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in as_is} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-@lru_cache(2)
 def library_encoder(path: str, pieces: str) -> WordEncoder:
+    return hold((path, pieces), lambda: _library_encoder(path, pieces))
+
+
+def _library_encoder(path: str, pieces: str) -> WordEncoder:
     """An encoder that gives what the tokenizers library gives for whole texts
     with the file at ``path``; ``pieces``: "bytes" or "lower", its way to split.
 

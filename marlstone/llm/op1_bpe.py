@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import record, rows_of, slices, with_field
+from .common import hold, record, rows_of, slices, with_field
 from .encoders import WordEncoder, as_bytes, byte_level_pieces
 
 _NONE = np.int64(1) << 60
@@ -175,10 +174,12 @@ def encode_pieces(ranks: Ranks, pieces: list[str], together: int = 256) -> list[
     return out
 
 
-@lru_cache(2)
 def encoder(path: str) -> tuple[Ranks, WordEncoder]:
-    ranks = Ranks(path)
-    return ranks, WordEncoder(byte_level_pieces, lambda p: encode_pieces(ranks, p))
+    def make() -> tuple[Ranks, WordEncoder]:
+        ranks = Ranks(path)
+        return ranks, WordEncoder(byte_level_pieces, lambda p: encode_pieces(ranks, p))
+
+    return hold(("bpe", path), make)
 
 
 def decode(ranks: Ranks, ids: bytes) -> bytes:

@@ -11,7 +11,6 @@ token, or as many as it has bytes where the vocabulary has all byte pieces."""
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import public_tokenizers
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import record, rows_of, slices, windows, with_field
+from .common import hold, record, rows_of, slices, windows, with_field
 
 SPACE, PENALTY = "▁", 10.0
 
@@ -85,9 +84,8 @@ class Counter(dict):
         return n
 
 
-@lru_cache(2)
 def counter(path: str) -> Counter:
-    return Counter(read_pieces(path))
+    return hold(("unigram", path), lambda: Counter(read_pieces(path)))
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", n_tokens: str = "n_tokens") -> DataFrame:

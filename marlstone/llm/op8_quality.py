@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
-from .common import get_file, make_dir, put_file, record, rows_of, shared_path, slices, windows, with_field
+from .common import get_file, hold, make_dir, put_file, record, rows_of, shared_path, slices, windows, with_field
 
 #: Few rows are gone through more often, up to about this many updates.
 UPDATES = 24_000
@@ -43,7 +43,7 @@ def shape(word: str) -> int:
 
 
 class Features(dict):
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit = limit
 
@@ -140,9 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, epochs: int
     return f"{folder}/weights"
 
 
-@lru_cache(1)
 def _features() -> Features:
-    return Features()
+    return hold(("features",), Features)
 
 
 @lru_cache(2)
