@@ -129,7 +129,7 @@ def pack(pieces: DataFrame, tokens: int = 2048, docs: int = 2048, attention: int
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = held.select("task", "length", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("base"))
     # A task's pieces of one length are at most that task's rows, so no key is hot.
-    ranked = pieces.join(base, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
+    ranked = pieces.join(base.hint("shuffle_hash"), ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
