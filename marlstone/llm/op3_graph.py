@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import record
 from .vectors import chunks, matrix, nearest, query_blocks, save_queries, usable, width
 
-DEGREE, BEAM, SEARCH, ALPHA = 24, 40, 72, 1.2
+DEGREE, BEAM, SEARCH, ALPHA = 24, 40, 128, 1.2
 _SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
