@@ -30,8 +30,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of least id, of each group of texts linked by SimHash at a
-    similarity of 0.8 of five-word shingles."""
+    """One document, that of least id, of each group of texts linked at a similarity
+    of 0.8 of five-word shingles: SimHash proposes, the shingles decide."""
     return dedup_similar(docs)
 
 

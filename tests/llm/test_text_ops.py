@@ -423,3 +423,44 @@ def test_reach_against_all_pairs():
     i, j = np.nonzero(d)
     want = op10_simhash.roots(80, i, j)
     assert op10_similar.reach(x, most).tolist() == want.tolist()
+
+
+def test_similar_just_above_and_below_the_limit(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows, want = [], {}
+    # Words, words cut off the end, words put there: 0.8 or more of the shingles are shared, or just not.
+    above = [(94, 10, 10), (84, 0, 20), (164, 17, 17), (8, 0, 1), (10, 0, 1), (16, 0, 3), (13, 1, 1)]
+    below = [(94, 11, 11), (84, 0, 21), (164, 18, 18), (7, 0, 1), (15, 0, 3), (12, 1, 1), (94, 13, 13)]
+    for _ in range(25):
+        for k, (n, cut, put) in enumerate(above + below):
+            w = [word() for _ in range(n)]
+            x = [*w[: n - cut], *(word() for _ in range(put))]
+            i = len(rows)
+            rows += [(i, " ".join(w)), (i + 1, " ".join(x))]
+            same, all_ = n - 4 - cut, n - 4 + put
+            assert (5 * same >= 4 * all_) == (k < len(above))
+            want[i], want[i + 1] = i, i if k < len(above) else i + 1
+    rows += [(None, "  " + rows[0][1].upper()), (1, rows[1][1]), (None, None), (9999, " ")]
+    got = op10_similar.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = {x.doc_id: x.component_id for x in got}
+    assert len(got) == len(rows) and by[0] is by[1] is by[None] is by[9999] is None
+    wrong = [i for i in want if i > 1 and by[i] != want[i]]
+    assert not wrong
+
+
+def test_groups_beyond_memory(monkeypatch):
+    r = random.Random(6)
+    base = [b"%d" % r.randrange(10**6) for _ in range(60)]
+    texts = [[*base[:k], *(b"%d" % r.randrange(10**6) for _ in range(60 - k))] for k in (60, 58, 55, 54, 30, 29, 20)]
+
+    def solved():
+        g = op10_similar.Group()
+        for i, w in enumerate(texts):
+            g.add(i, op10_similar.sketch(b" ".join(w).decode())[2], op10_similar.shingles(w, 5))
+        return [x.tolist() for x in g.links(0.8)], g.file
+
+    whole, none = solved()
+    monkeypatch.setattr(op10_similar, "HELD", 100)
+    spilled, file = solved()
+    assert whole == spilled == [[1, 2, 3], [0, 0, 0]] and none is None and file is not None
