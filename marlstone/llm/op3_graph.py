@@ -6,7 +6,9 @@ and robust pruning keeps the nearest of them and drops every other that is neare
 by a relaxed factor, to a kept one than to the vector itself; links back are added
 and pruned alike once they are too many.  Queries search each shard's graph with a
 beam; what they reach is scored anew in double precision on the vectors as given.
-A shard that is no larger than a beam is scanned."""
+Vectors of one direction are one node, as pruning would cut copies off; a node that
+is reached gives the least ids of each vector in it.  A shard with no more nodes
+than a beam is scanned."""
 
 from __future__ import annotations
 
@@ -134,22 +136,50 @@ class Graph:
                 self.n_next[part] = (kept >= 0).sum(1)
 
 
+def same_rows(x: np.ndarray) -> np.ndarray:
+    """For each row the number of the first row equal to it, counted without repeats."""
+    known: dict[bytes, int] = {}
+    return np.array([known.setdefault(r.tobytes(), len(known)) for r in x + 0.0], np.int64)  # -0 is 0
+
+
+def members(node: np.ndarray, vector: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of rows by node, and where each node's begin.  Of each vector the rows
+    of the k + 1 least ids, k of an id at most: less any one id, the k least are there."""
+    order = np.lexsort((ids, vector, node))
+    v, i = vector[order], ids[order]
+    place = np.arange(len(order))
+    head = np.r_[True, v[1:] != v[:-1]]
+    new = head | np.r_[True, i[1:] != i[:-1]]
+    nth_id = np.cumsum(new)
+    nth_id = nth_id - np.maximum.accumulate(np.where(head, nth_id, 0))
+    nth_row = place - np.maximum.accumulate(np.where(new, place, 0))
+    order = order[(nth_id <= k) & (nth_row < k)]
+    return order, np.searchsorted(node[order], np.arange(int(node.max()) + 2))
+
+
 def search_shard(ids: np.ndarray, lists: pa.ListArray, path: str, k: int, beam: int = SEARCH) -> Iterator[pa.RecordBatch]:
     dims, graph = width(lists), None
     v = matrix(lists, dims)
     norm = np.sqrt((v * v).sum(1))
+    unit = (v / norm[:, None]).astype(np.float32)
+    node = same_rows(unit)
+    rows, starts = members(node, same_rows(v), ids, k)
+    n = len(starts) - 1
+    unit = unit[np.unique(node, return_index=True)[1]]
     for qids, qlists in query_blocks(path, 256):
         d = max(dims, width(qlists))
         if v.shape[1] < d:
-            v, graph = np.pad(v, ((0, 0), (0, d - v.shape[1]))), None
-        if graph is None and len(ids) > beam:
-            graph = Graph((v / norm[:, None]).astype(np.float32))
+            v, unit, graph = *(np.pad(x, ((0, 0), (0, d - v.shape[1]))) for x in (v, unit)), None
+        if graph is None and n > beam:
+            graph = Graph(unit)
         q = matrix(qlists, d)
         qn = np.sqrt((q * q).sum(1))
-        near = graph.search((q / qn[:, None]).astype(np.float32), beam) if len(ids) > beam else np.broadcast_to(np.arange(len(ids)), (len(q), len(ids)))
+        near = graph.search((q / qn[:, None]).astype(np.float32), beam) if n > beam else np.broadcast_to(np.arange(n), (len(q), n))
         out: list[tuple] = []
         for i, qid in enumerate(qids.tolist()):
             at = near[i][near[i] >= 0]
+            size = starts[at + 1] - starts[at]
+            at = rows[np.repeat(starts[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
             at = at[ids[at] != qid]
             s = (v[at] * q[i]).sum(1) / (norm[at] * qn[i])
             top = np.lexsort((ids[at], -s))[:k]

@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -111,3 +112,40 @@ def test_repeated_and_reordered_rows_are_candidates_each(spark):
     one = run(op9_topk.top_k, frame(spark, rows))
     two = run(op9_topk.top_k, frame(spark, rows + rows))
     assert all([i for i, _ in two[q]][::2] == [i for i, _ in one[q]][:3] for q in one)
+
+
+def test_graph_recall_with_copies(spark):
+    r = np.random.RandomState(3)
+    some = r.randn(2000, 24).astype("f4").tolist()
+    hub, other = some[0], r.randn(24).astype("f4").tolist()
+    rows = [(int(i), v) for i, v in zip(r.permutation(3000), [*some, *[hub] * 900, *[other] * 100])]
+    rows += [(i, [2 * x for x in v]) for i, v in rows[1990:2020]] + [(i, v) for i, v in rows[1995:2010]]
+    got = run(op3_graph.search, frame(spark, rows), shard=4000)
+    ids, m = cosines(rows)
+    exact = {i: np.array(v) for i, v in rows}
+    hit = total = 0
+    for q in sorted(got):
+        a = exact[q] / np.sqrt((exact[q] ** 2).sum())
+        s = np.round(m @ a, 12)
+        s[ids == q] = -9
+        top = np.lexsort((ids, -s))[:5]
+        hit += sum((Counter(ids[top].tolist()) & Counter(i for i, _ in got[q])).values())
+        total += 5
+        if exact[q].tolist() in (hub, other):
+            assert [i for i, _ in got[q]] == ids[top].tolist()
+    assert total == 300 and hit / total >= 0.95
+
+
+def test_members_hold_the_least_of_each_vector():
+    r = np.random.RandomState(4)
+    vector = r.randint(0, 12, 400)
+    node, ids = vector // 2, r.randint(0, 30, 400)
+    rows, starts = op3_graph.members(node, vector, ids, 3)
+    assert len(rows) <= 12 * 4 * 3
+    for g in range(6):
+        part = rows[starts[g] : starts[g + 1]]
+        assert (node[part] == g).all()
+        for v in (2 * g, 2 * g + 1):
+            for own in range(30):
+                least = lambda at: sorted(ids[at][(vector[at] == v) & (ids[at] != own)])[:3]
+                assert least(part) == least(np.arange(400))
