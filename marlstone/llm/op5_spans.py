@@ -3,7 +3,9 @@
 From every sentence a run of consecutive sentences starts: it ends as soon as it
 has two sentences and ``words`` words, or one sentence alone has ``alone`` words.
 Where it ends depends on its own words only, so a passage gives the same runs in
-every document.  Runs are hashed and joined globally; each occurrence of a hash
+every document.  With ``tails`` the shortest such run that ends with each sentence
+is taken too: without it, sentences at a passage's end that are too short for a run
+of their own would stay.  Runs are hashed and joined globally; each occurrence of a hash
 but the first (least doc_id, then place) is a repeated span, and the sentences it
 covers go, with the white space behind them."""
 
@@ -35,16 +37,10 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return list(zip([0, *ends], ends))
 
 
-def runs(text: str, words: int = WORDS, alone: int = ALONE) -> tuple[list[int], list[int], np.ndarray]:
-    """First sentence, number of sentences, and 128-bit hash (two numbers) of the
-    run from each sentence that starts one.  Sentences are compared by their words."""
-    h, n = array("Q"), []
-    for a, b in sentences(text):
-        w = text[a:b].split()
-        n.append(len(w))
-        h.append(xxhash.xxh3_64_intdigest(" ".join(w)))
-    at, size, out = [], [], bytearray()
-    data, total, end, count = memoryview(h).cast("B"), 0, 0, len(n)
+def _shortest(n: list[int], words: int, alone: int) -> list[tuple[int, int]]:
+    """First sentence and end of the run from each sentence that starts one, by the
+    sentences' numbers of words."""
+    out, total, end, count = [], 0, 0, len(n)
     for i in range(count):
         if n[i] >= alone:
             k = i + 1
@@ -59,17 +55,34 @@ def runs(text: str, words: int = WORDS, alone: int = ALONE) -> tuple[list[int],
             else:
                 k = 0
         if k:
-            at.append(i)
-            size.append(k - i)
-            out += xxhash.xxh3_128_digest(data[8 * i : 8 * k])
+            out.append((i, k))
         if end > i:
             total -= n[i]
         else:
             end = i + 1
-    return at, size, np.frombuffer(bytes(out), "<i8").reshape(-1, 2)
+    return out
+
+
+def runs(text: str, words: int = WORDS, alone: int = ALONE, tails: bool = False) -> tuple[list[int], list[int], np.ndarray]:
+    """First sentence, number of sentences, and 128-bit hash (two numbers) of the
+    run from each sentence that starts one, and with ``tails`` of the run up to each
+    that ends one, each run once.  Sentences are compared by their words."""
+    h, n = array("Q"), []
+    for a, b in sentences(text):
+        w = text[a:b].split()
+        n.append(len(w))
+        h.append(xxhash.xxh3_64_intdigest(" ".join(w)))
+    found = _shortest(n, words, alone)
+    if tails:
+        # A run that is the shortest to its end and the shortest from its start is there already.
+        ends = {k for _, k in found}
+        found += [(len(n) - k, len(n) - i) for i, k in _shortest(n[::-1], words, alone) if len(n) - i not in ends]
+    data = memoryview(h).cast("B")
+    out = b"".join([xxhash.xxh3_128_digest(data[8 * i : 8 * k]) for i, k in found])
+    return [i for i, _ in found], [k - i for i, k in found], np.frombuffer(out, "<i8").reshape(-1, 2)
 
 
-def occurrences(docs: DataFrame, words: int, alone: int) -> DataFrame:
+def occurrences(docs: DataFrame, words: int, alone: int, tails: bool) -> DataFrame:
     """hi, lo, doc_id, at, size of each run."""
     schema = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("size", pa.int32())])
 
@@ -79,7 +92,7 @@ def occurrences(docs: DataFrame, words: int, alone: int) -> DataFrame:
                 ids, at, size, keys = [], [], [], []
                 for d, t in zip(b.column("doc_id").to_pylist(), rows_of(b.column("text"))):
                     if t:
-                        a, s, k = runs(t, words, alone)
+                        a, s, k = runs(t, words, alone, tails)
                         ids.append(np.full(len(a), NO_ID if d is None else d))
                         at += a
                         size += s
@@ -91,11 +104,11 @@ def occurrences(docs: DataFrame, words: int, alone: int) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "hi long, lo long, doc_id long, at int, size int")
 
 
-def repeated(docs: DataFrame, words: int = WORDS, alone: int = ALONE) -> DataFrame:
+def repeated(docs: DataFrame, words: int = WORDS, alone: int = ALONE, tails: bool = False) -> DataFrame:
     """_id and ``_spans``: the repeated spans of each document that has any."""
-    found = stored(occurrences(docs, words, alone), "span-runs")
+    found = stored(occurrences(docs, words, alone, tails), "span-runs")
     place = F.struct("doc_id", "at")
-    first = found.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hi", "lo", "first")
+    first = found.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hi", "lo", "first")
     # One row a hash on the right; a hash that many runs have is split by AQE.
     again = found.join(first, ["hi", "lo"]).where(place != F.col("first"))
     return again.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("at", "size")).alias("_spans"))
@@ -122,20 +135,21 @@ def without_spans(text: str | None, spans: list[dict] | None) -> tuple[str, list
     return "".join(text[a:b] for (a, b), g in zip(cut, gone) if not g), stretches, len(cut)
 
 
-def _joined(docs: DataFrame, words: int, alone: int) -> DataFrame:
-    spans = repeated(docs, words, alone)
+def _joined(docs: DataFrame, words: int, alone: int, tails: bool) -> DataFrame:
+    spans = repeated(docs, words, alone, tails)
     on = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == spans["_id"]
     return docs.join(spans.hint("shuffle_hash"), on, "left").drop(spans["_id"])
 
 
-def dedup_spans(docs: DataFrame, words: int = WORDS, alone: int = ALONE) -> DataFrame:
-    """``docs`` with ``text`` less its repeated spans.
+def dedup_spans(docs: DataFrame, words: int = WORDS, alone: int = ALONE, tails: bool = False) -> DataFrame:
+    """``docs`` with ``text`` less its repeated spans.  ``tails``: all sentences of a
+    repeated passage that has a run, not only those from which a run starts in it.
 
     A null id comes before any other.  Rows of one id are one document: the same
     place in them is one place, and all lose the same spans.  Null text becomes
     empty.  A column n_chars, if there, is brought up to date; others pass."""
     cols = docs.columns
-    df, at = _joined(docs, words, alone), cols.index("text")
+    df, at = _joined(docs, words, alone, tails), cols.index("text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
@@ -154,7 +168,7 @@ def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_sentences, n_removed (characters), removed (start and end of each
     stretch that went) and the text that stays, of each document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("cast(doc_id as bigint) doc_id", "text")
-    df = _joined(docs, WORDS, ALONE)
+    df = _joined(docs, WORDS, ALONE, tails=True)
     stretch = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("removed", stretch), ("text", pa.string())])
 

@@ -192,6 +192,38 @@ def test_spans_against_brute_force(spark):
         assert dict(map(tuple, op5_spans.dedup_spans(df, words, alone).collect())) == slow_spans(rows, words, alone)
 
 
+def test_no_tail_of_a_repeated_passage_stays(spark):
+    r = random.Random(9)
+    sentence = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(n)) + ". "
+    passages = ["".join(map(sentence, sizes)) for sizes in ((30, 12, 4, 3, 3), (60, 3), (3, 60, 2, 2), (10, 9, 8, 7, 6, 5, 4, 3, 2, 1), (26, 24, 1))]
+    rows, want = [], {}
+    for p in passages:
+        for k in range(3):  # in the middle, at the end, and at the start of a text
+            before, after = sentence(20) if k < 2 else "", sentence(20) if k != 1 else ""
+            want[len(rows)] = before + ("" if k else p) + after
+            rows.append((len(rows), before + p + after))
+    got = dict(map(tuple, op5_spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string"), tails=True).collect()))
+    assert got == want
+
+
+def test_tails_against_all_runs(spark):
+    r = random.Random(10)
+    rows = [(i, "".join(r.choice(["a b. ", "c d e. ", "f! ", "g\n", "h i j k l m. ", "é?  "]) for _ in range(r.randrange(12)))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for words, alone in ((5, 6), (4, 100)):
+        seen, want = {}, {}
+        for d, t in rows:
+            cut, gone = op5_spans.sentences(t), set()
+            w = [tuple(t[a:b].split()) for a, b in cut]
+            for i in range(len(w)):
+                for j in range(i + 1, len(w) + 1):
+                    if sum(map(len, w[i:j])) >= words and j - i >= 2 or any(len(x) >= alone for x in w[i:j]):
+                        if seen.setdefault(tuple(w[i:j]), (d, i)) != (d, i):
+                            gone |= set(range(i, j))
+            want[d] = "".join(t[a:b] for k, (a, b) in enumerate(cut) if k not in gone)
+        assert dict(map(tuple, op5_spans.dedup_spans(df, words, alone, tails=True).collect())) == want
+
+
 def test_spans_edge_cases(docs, nothing):
     got = op5_spans.dedup_spans(docs, 4, 8)
     assert got.columns == docs.columns and got.count() == len(DOCS) and op5_spans.dedup_spans(nothing).count() == 0
