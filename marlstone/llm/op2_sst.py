@@ -195,11 +195,19 @@ class Shard:
         return out
 
 
+def width_of(path: str, end_id: int) -> int:
+    """Bytes an id of the tokenizer in the file at ``path``, and of ``end_id``."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(end_id, *Tokenizer.from_file(path).get_vocab().values()) < 1 << 16 else 4
+
+
 def write_shards(docs: DataFrame, path: str, end_id: int, out: str, shards: int) -> list[tuple[str, int, int]]:
     """Encodes ``docs`` (doc_id, text; null text: empty), ends each document with
     ``end_id``, and writes shards in ascending id below ``out``.  Returns (file,
     documents, tokens) of each shard in order: a row a file, as any listing has."""
     make_dir(out)
+    width = width_of(path, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, at, w = library_encoder(path, "bytes"), TaskContext.get(), None
@@ -207,9 +215,9 @@ def write_shards(docs: DataFrame, path: str, end_id: int, out: str, shards: int)
         for whole in batches:
             for b in slices(whole, "text"):
                 ids = e.ids([t or "" for t in b.column("text").to_pylist()])
-                w = w or ShardWriter(name, 2, str(at.taskAttemptId()))
+                w = w or ShardWriter(name, width, str(at.taskAttemptId()))
                 for d, x in zip(b.column("doc_id").to_pylist(), ids):
-                    w.add(key_of(d), np.append(np.frombuffer(x, "<u4"), end_id).astype("<u2").tobytes())
+                    w.add(key_of(d), np.append(np.frombuffer(x, "<u4"), end_id).astype(f"<u{width}").tobytes())
         if w:
             w.close()
             yield pa.RecordBatch.from_pydict({"file": [name], "n_docs": [w.n_docs], "n_tokens": [w.n_tokens]})

@@ -3,6 +3,7 @@ and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
 import itertools
+import json
 import random
 import struct
 import zlib
@@ -132,6 +133,18 @@ def test_token_files(spark, docs, nothing):
     assert op2_sst.read_shards(spark, op2_sst.write_shards(nothing, BYTES, 2, shared_path(spark, "t2"), 3)).count() == 0
 
 
+def test_ids_beyond_two_bytes(spark, docs, tmp_path):
+    t = json.loads(open(BYTES).read())
+    t["model"]["vocab"]["x"] = 70_001
+    (tmp_path / "wide.json").write_text(json.dumps(t))
+    texts = spark.createDataFrame([(1, "x y"), (2, None)], "doc_id long, text string")
+    for path, end in ((BYTES, 70_000), (str(tmp_path / "wide.json"), 2)):
+        files = op2_sst.write_shards(texts, path, end, shared_path(spark, "t2"), 1)
+        want = Tokenizer.from_file(path).encode("x y", add_special_tokens=False).ids
+        assert [x.tolist() for _, x in op2_sst.Shard(files[0][0]).scan()] == [[*want, end], [end]]
+        assert max(*want, end) > 65_535 and sum(n for _, _, n in files) == len(want) + 2
+
+
 def test_shard_of_many_blocks(tmp_path):
     uri = f"file://{tmp_path}/a.sst"
     w = op2_sst.ShardWriter(uri, 2, "x")
