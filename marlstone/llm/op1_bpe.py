@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import hold, record, rows_of, slices, with_field
-from .encoders import WordEncoder, as_bytes, byte_level_pieces
+from .common import hold, record, slices, with_field
+from .encoders import PLAIN_WORD, WordEncoder, as_bytes, byte_level_pieces, cut_byte_level
 
 _NONE = np.int64(1) << 60
 
@@ -177,7 +177,7 @@ def encode_pieces(ranks: Ranks, pieces: list[str], together: int = 256) -> list[
 def encoder(path: str) -> tuple[Ranks, WordEncoder]:
     def make() -> tuple[Ranks, WordEncoder]:
         ranks = Ranks(path)
-        return ranks, WordEncoder(byte_level_pieces, lambda p: encode_pieces(ranks, p))
+        return ranks, WordEncoder(byte_level_pieces, lambda p: encode_pieces(ranks, p), PLAIN_WORD, cut_byte_level)
 
     return hold(("bpe", path), make)
 
@@ -199,27 +199,30 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
         _, e = encoder(path)
         for whole in batches:
             for b in slices(whole, text):
-                got = e.ids([t or "" for t in b.column(at).to_pylist()])
-                flat = np.frombuffer(b"".join(got), "<u4").astype(np.int32)
-                ends = np.cumsum([0, *(len(x) // 4 for x in got)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[*keep, ids])
+                flat, ends = e.flat(b.column(at))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))], names=[*keep, ids])
 
     schema = with_field(df.schema, ids, T.ArrayType(T.IntegerType()))
     return df.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of ``docs``."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of ``docs``.
+
+    Null and empty texts have no ids and the digests of nothing; a null id stays
+    null, and a repeated row has a row each time."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, e = encoder(path)
         for whole in batches:
             for b in slices(whole, "text"):
-                got = e.ids([t or "" for t in rows_of(b.column("text"))])
+                flat, ends = e.flat(b.column("text"))
+                data = memoryview(flat.astype("<u4", copy=False)).cast("B") if len(flat) else b""
+                got = [data[4 * i : 4 * j] for i, j in zip(ends.tolist(), ends[1:].tolist())]
                 yield record(schema, {
                     "doc_id": b.column("doc_id"),
-                    "n_tokens": [len(x) // 4 for x in got],
+                    "n_tokens": np.diff(ends),
                     "ids_sha256": [hashlib.sha256(x).hexdigest() for x in got],
                     "decoded_sha256": [hashlib.sha256(decode(ranks, x)).hexdigest() for x in got],
                 })
@@ -228,4 +231,5 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every whole text, and of the bytes they decode to."""
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))

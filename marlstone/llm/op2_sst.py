@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import file_at, make_dir, record, shared_path, slices
-from .encoders import library_encoder
+from .encoders import library_encoder, with_end
 
 MAGIC, RESTART, BLOCK, HASHES, BITS = b"MSST\x01\0\0\0", 16, 1 << 16, 7, 10
 
@@ -214,10 +214,11 @@ def write_shards(docs: DataFrame, path: str, end_id: int, out: str, shards: int)
         name = f"{out}/shard-{at.partitionId():07d}.sst"
         for whole in batches:
             for b in slices(whole, "text"):
-                ids = e.ids([t or "" for t in b.column("text").to_pylist()])
+                flat, places = with_end(*e.flat(b.column("text")), end_id)
+                data = flat.astype(f"<u{width}").tobytes()
                 w = w or ShardWriter(name, width, str(at.taskAttemptId()))
-                for d, x in zip(b.column("doc_id").to_pylist(), ids):
-                    w.add(key_of(d), np.append(np.frombuffer(x, "<u4"), end_id).astype(f"<u{width}").tobytes())
+                for d, i, j in zip(b.column("doc_id").to_pylist(), places.tolist(), places[1:].tolist()):
+                    w.add(key_of(d), data[width * i : width * j])
         if w:
             w.close()
             yield pa.RecordBatch.from_pydict({"file": [name], "n_docs": [w.n_docs], "n_tokens": [w.n_tokens]})

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import get_file, make_dir, put_file, record, shared_path, slices, stored
-from .encoders import library_encoder
+from .encoders import library_encoder, with_end
 
 
 def plan(counts: dict[int, int], tokens: int = 2048, docs: int = 2048, attention: int = 2048 * 2048, rule: str = "norm") -> np.ndarray:
@@ -98,16 +98,15 @@ def cut(docs: DataFrame, path: str, tokens: int, end_id: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("nth", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, task, end, seen = library_encoder(path, "lower"), TaskContext.get().partitionId(), end_id.to_bytes(4, "little"), [0] * (tokens + 1)
+        e, task, seen = library_encoder(path, "lower"), TaskContext.get().partitionId(), [0] * (tokens + 1)
         for whole in batches:
             for b in slices(whole, "text"):
-                rows = []
-                for d, ids in zip(b.column("doc_id").to_pylist(), e.ids([t or "" for t in b.column("text").to_pylist()])):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * tokens)):
-                        part = ids[at : at + 4 * tokens]
-                        n = len(part) // 4
-                        rows.append((d, k, at // 4, n, zlib.crc32(part), task, seen[n]))
+                flat, at = with_end(*e.flat(b.column("text")), end_id)
+                data, rows = memoryview(flat.astype("<u4", copy=False)).cast("B"), []
+                for d, i, j in zip(b.column("doc_id").to_pylist(), at.tolist(), at[1:].tolist()):
+                    for k, start in enumerate(range(i, j, tokens)):
+                        n = min(tokens, j - start)
+                        rows.append((d, k, start - i, n, zlib.crc32(data[4 * start : 4 * (start + n)]), task, seen[n]))
                         seen[n] += 1
                 yield record(schema, dict(zip(schema.names, map(list, zip(*rows)))))
 
@@ -149,4 +148,5 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 0, tokens: int = 20
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in pieces of at most 2048 ids, packed; a null text is the end id."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))

@@ -98,11 +98,11 @@ def test_encode_operator(spark, docs, nothing):
 
 
 def test_memo_starts_anew():
-    e = WordEncoder(lambda t: [t], lambda p: [x.encode() for x in p], words=10, pieces=10)
+    e = WordEncoder(lambda t: [t], lambda p: [x.encode().ljust(8) for x in p], words=10, pieces=10)
     r = random.Random(0)
     for _ in range(20):
-        t = " ".join(str(r.random()) for _ in range(30))
-        assert e.ids([t]) == [t.encode()]
+        t = " ".join(f"{r.random():.4f}" for _ in range(30))
+        assert e.ids([t]) == [b"".join(w.encode().ljust(8) for w in [x if i == 0 else " " + x for i, x in enumerate(t.split(" "))])]
         assert len(e.words) <= 45
 
 
