@@ -61,10 +61,19 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
             return n, at
 
 
-def _bits(key: bytes, m: int) -> list[int]:
-    h = xxhash.xxh3_128_intdigest(key)
-    a, b = h & (1 << 64) - 1, h >> 64 | 1
-    return [(a + i * b) % m for i in range(HASHES)]
+def _bits(keys: list[bytes], m: int) -> np.ndarray:
+    """The ``HASHES`` places of each key in a filter of ``m`` bits."""
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), ">u8").astype(np.uint64).reshape(-1, 2)
+    i = np.arange(HASHES, dtype=np.uint64)
+    return (h[:, :1] + i * (h[:, 1:] | np.uint64(1))) % np.uint64(m)
+
+
+def bloom(keys: list[bytes], m: int) -> bytes:
+    bits = np.zeros((m + 7) // 8, np.uint8)
+    for i in range(0, len(keys), 1 << 16):
+        at = _bits(keys[i : i + (1 << 16)], m).ravel()
+        np.bitwise_or.at(bits, at >> np.uint64(3), np.left_shift(1, at & np.uint64(7)).astype(np.uint8))
+    return bits.tobytes()
 
 
 class ShardWriter:
@@ -95,8 +104,8 @@ class ShardWriter:
             self.index.append([key.hex(), self.at, 0])
         shared = 0
         if self.count % RESTART:
-            while shared < len(key) and shared < len(self.last) and key[shared] == self.last[shared]:
-                shared += 1
+            if key and self.last:  # both have eight bytes: the first that differs
+                shared = 8 - ((int.from_bytes(key) ^ int.from_bytes(self.last)).bit_length() + 7 >> 3)
         else:
             self.restarts.append(len(self.block))
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
@@ -110,13 +119,10 @@ class ShardWriter:
     def close(self) -> None:
         self._flush()
         m = max(64, len(self.keys) * BITS)
-        bloom = bytearray((m + 7) // 8)
-        for k in self.keys:
-            for b in _bits(k, m):
-                bloom[b >> 3] |= 1 << (b & 7)
+        bits = bloom(self.keys, m)
         index = json.dumps(self.index).encode()
-        foot = json.dumps({"index": [self.at, len(index)], "bloom": [self.at + len(index), len(bloom), m], "width": self.width, "n_docs": self.n_docs, "n_tokens": self.n_tokens}).encode()
-        self.out.write(index + bytes(bloom) + foot + struct.pack("<I", len(foot)) + MAGIC)
+        foot = json.dumps({"index": [self.at, len(index)], "bloom": [self.at + len(index), len(bits), m], "width": self.width, "n_docs": self.n_docs, "n_tokens": self.n_tokens}).encode()
+        self.out.write(index + bits + foot + struct.pack("<I", len(foot)) + MAGIC)
         self.out.close()
         self.fs.move(self.part, self.path)
 
@@ -139,7 +145,7 @@ class Shard:
         self.bloom = self.f.read_at(self.foot["bloom"][1], self.foot["bloom"][0])
 
     def may_hold(self, key: bytes) -> bool:
-        return all(self.bloom[b >> 3] >> (b & 7) & 1 for b in _bits(key, self.foot["bloom"][2]))
+        return all(self.bloom[b >> 3] >> (b & 7) & 1 for b in _bits([key], self.foot["bloom"][2])[0].tolist())
 
     def _block(self, i: int) -> tuple[bytes, list[int], int]:
         _, at, size = self.index[i]
