@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import file_at, make_dir, record, shared_path, slices
 from .encoders import library_encoder, with_end
@@ -108,7 +109,8 @@ class ShardWriter:
                 shared = 8 - ((int.from_bytes(key) ^ int.from_bytes(self.last)).bit_length() + 7 >> 3)
         else:
             self.restarts.append(len(self.block))
-        self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
+        self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:]
+        self.block += value
         self.last, self.count = key, self.count + 1
         self.n_docs, self.n_tokens = self.n_docs + 1, self.n_tokens + len(value) // self.width
         if not self.keys or self.keys[-1] != key:
@@ -208,34 +210,57 @@ def width_of(path: str, end_id: int) -> int:
     return 2 if max(end_id, *Tokenizer.from_file(path).get_vocab().values()) < 1 << 16 else 4
 
 
+def ranges(docs: DataFrame, shards: int) -> np.ndarray:
+    """Ids at which ranges of about as many documents each begin, less the first."""
+    if shards < 2:
+        return np.zeros(0, np.int64)
+    at = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [k / shards for k in range(1, shards)], max(10_000, 20 * shards)).alias("at"))
+    return np.array(at.collect()[0].at or [], np.int64)
+
+
 def write_shards(docs: DataFrame, path: str, end_id: int, out: str, shards: int) -> list[tuple[str, int, int]]:
     """Encodes ``docs`` (doc_id, text; null text: empty), ends each document with
     ``end_id``, and writes shards in ascending id below ``out``.  Returns (file,
-    documents, tokens) of each shard in order: a row a file, as any listing has."""
+    documents, tokens) of each shard in order: a row a file, as any listing has.
+
+    Null ids come first.  Rows of one id are entries of one shard, in the order of
+    their ids' bytes; so an id with very many rows makes a long shard, which is
+    written and read as a stream like others.  No rows: no shards."""
     make_dir(out)
-    width = width_of(path, end_id)
+    width, bounds = width_of(path, end_id), ranges(docs, shards)
+    found = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, at, w = library_encoder(path, "bytes"), TaskContext.get(), None
-        name = f"{out}/shard-{at.partitionId():07d}.sst"
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = library_encoder(path, "bytes")
         for whole in batches:
             for b in slices(whole, "text"):
-                flat, places = with_end(*e.flat(b.column("text")), end_id)
-                data = flat.astype(f"<u{width}").tobytes()
-                w = w or ShardWriter(name, width, str(at.taskAttemptId()))
-                for d, i, j in zip(b.column("doc_id").to_pylist(), places.tolist(), places[1:].tolist()):
-                    w.add(key_of(d), data[width * i : width * j])
+                flat, at = with_end(*e.flat(b.column("text")), end_id)
+                ids = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((width * at).astype(np.int32)), pa.py_buffer(flat.astype(f"<u{width}"))])
+                doc_id = b.column("doc_id")
+                shard = np.searchsorted(bounds, doc_id.fill_null(0).to_numpy(), "right")
+                yield record(found, {"shard": np.where(doc_id.is_null(), 0, shard).astype(np.int32), "doc_id": doc_id, "ids": ids})
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, w = TaskContext.get(), None
+        name = f"{out}/shard-{at.partitionId():07d}.sst"
+        for b in batches:
+            w = w or ShardWriter(name, width, str(at.taskAttemptId()))
+            for d, x in zip(b.column("doc_id").to_pylist(), b.column("ids")):
+                w.add(key_of(d), x.as_buffer())
         if w:
             w.close()
             yield pa.RecordBatch.from_pydict({"file": [name], "n_docs": [w.n_docs], "n_tokens": [w.n_tokens]})
 
-    # Ranges of ids, each sorted: shards then are in global order, and no shard holds more than its range.
-    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "file string, n_docs long, n_tokens long").collect()
+    # Ids are moved, not texts.  Shards are ranges, each sorted, so they are in global order.
+    encoded = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(encode, "shard int, doc_id long, ids binary")
+    moved = encoded.repartitionById(shards, "shard").sortWithinPartitions("doc_id", "ids").select("doc_id", "ids")
+    rows = moved.mapInArrow(write, "file string, n_docs long, n_tokens long").collect()
     return sorted((r.file, r.n_docs, r.n_tokens) for r in rows)
 
 
 def read_shards(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, read from the files."""
+    """doc_id, start, n_tokens, ids_crc32 of each document, read from the files.  No
+    files: no rows."""
     starts, total = [], 0
     for name, _, n in files:
         starts.append((name, total))
@@ -260,6 +285,7 @@ def read_shards(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataF
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum, as read back from the shards."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     files = write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, shared_path(spark, "op2"), shards)
