@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 
 from .common import get_file, hold, make_dir, put_file, record, rows_of, shared_path, slices, windows, with_field
 
-#: Few rows are gone through more often, up to about this many updates.
-UPDATES = 24_000
 BITS, WORD = 20, re.compile(r"\w+|[^\w\s]+")
 _MIX, _SHAPE, _PAIR, _AGAIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5)
 
@@ -38,31 +36,52 @@ def shape(word: str) -> int:
     elif word[0].isalnum() or word[0] == "_":
         k = 6
     else:
-        k = 7 + (xxhash.xxh32_intdigest(word[:4]) & 0xFFFF)
+        k = 7 + (xxhash.xxh32_intdigest(word) & 0xFFFF)
     return k << 4 | min(len(word), 15)
 
 
+class Buckets:
+    """Counts of buckets, added part by part: a long text takes no more than its
+    distinct buckets and one part."""
+
+    def __init__(self) -> None:
+        self.at, self.n = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def add(self, buckets: list[np.ndarray]) -> None:
+        at, n = np.unique(np.concatenate(buckets), return_counts=True)
+        if len(self.at):
+            both, back = np.unique(np.concatenate([self.at, at]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([self.n, n])).astype(np.int64)
+            at = both
+        self.at, self.n = at, n
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.at, self.n
+
+
 class Features(dict):
     def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit = limit
 
     def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word[:256] + str(len(word) >> 8)) & ~0xFFFFFF | shape(word) & 0xFFFFFF
+        h = xxhash.xxh3_64_intdigest(word) & ~0xFFFFFF | shape(word) & 0xFFFFFF
         if len(self) < self.limit and len(word) < 64:
             self[word] = h
         return h
 
     def of(self, text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
         """Distinct buckets in order, and their values."""
-        whole: list[np.ndarray] = []
+        seen, down, last = Buckets(), np.uint64(64 - bits), np.zeros(0, np.uint64)
         for part in windows(text):
-            w = np.fromiter(map(self.__getitem__, WORD.findall(part)), np.uint64)
+            new = np.fromiter(map(self.__getitem__, WORD.findall(part)), np.uint64)
+            w = np.concatenate([last, new])  # the last word of the part before makes a pair with the first
             s = (w & np.uint64(0xFFFFFF)) * _SHAPE
-            down = np.uint64(64 - bits)
             again = w[1:] == w[:-1]
-            whole += [((x * _MIX) >> down).astype(np.int32) for x in (w, s, (w[:-1] ^ w[1:] * _PAIR) * _PAIR, s[:-1] ^ s[1:] * _PAIR, again * _AGAIN + _AGAIN)]
-        at, n = np.unique(np.concatenate(whole), return_counts=True) if whole else (np.zeros(0, np.int32), np.zeros(0))
+            k = len(last)
+            seen.add([((x * _MIX) >> down).astype(np.int32) for x in (new, s[k:], (w[:-1] ^ w[1:] * _PAIR) * _PAIR, s[:-1] ^ s[1:] * _PAIR, again * _AGAIN + _AGAIN)])
+            last = w[-1:]
+        at, n = seen.counts()
         n = n.astype(np.float64)
         return at, n / max(1e-9, np.sqrt((n * n).sum()))
 
@@ -100,18 +119,19 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.expr(f"crc32(cast(cast({doc_id} as string) as binary)) % 5 = 0")
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, epochs: int = 3, label: str = "quality") -> str:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, epochs: int = 16, label: str = "quality") -> str:
     """Learns ``label`` from labelled rows that are not held out, and returns the
     URI of the weights in the shared folder.
 
     At most ``max_rows`` rows are learnt from, those of least hash of their id: a
     documented bound, so the one task that updates weights in turn has a bounded
-    input.  An id with labels at odds counts as the greater; a null label or id is
-    no label.  No labels: the weights are zero and every score is one half."""
+    input, which it goes through ``epochs`` times.  An id with labels at odds counts
+    as the greater, an id with several texts as the least; a null label or id is no
+    label.  No labels: the weights are zero and every score is one half."""
     spark = docs.sparkSession
     known = labels.where(f"doc_id is not null and {label} is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("_label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # at most max_rows rows of two numbers: safe to broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_label").alias("_label"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = _features()
@@ -125,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, epochs: int
         for b in batches:
             for y, at, x in zip(*(b.column(c).to_pylist() for c in ("label", "at", "x"))):
                 seen.append((y, np.frombuffer(at, "<i4"), np.frombuffer(x, "<f4")))
-        for _ in range(max(epochs, min(40, UPDATES // max(1, len(seen))))):
+        for _ in range(epochs):
             for y, at, x in seen:
                 model.learn(at, x.astype(float), y)
         yield pa.RecordBatch.from_pydict({"weights": [_packed(model)]})
@@ -175,7 +195,8 @@ def score(docs: DataFrame, model: str, text: str = "text", name: str = "score")
 
 
 def keep_good(docs: DataFrame, model: str, least: float = 0.3) -> DataFrame:
-    """Rows of ``docs`` that score ``least`` or more, as they are."""
+    """Rows of ``docs`` that score ``least`` or more, as they are; a null or empty
+    text by the bias alone, a repeated row each time."""
     cols = docs.columns
     at = cols.index("text")
 
@@ -188,6 +209,7 @@ def keep_good(docs: DataFrame, model: str, least: float = 0.3) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, and whether it was held out of training."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])

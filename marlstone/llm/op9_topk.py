@@ -8,6 +8,7 @@ query's best, and a merge over all chunks the final ones."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from .common import record
 from .vectors import best, chunks, matrix, nearest, query_blocks, save_queries, usable, width
 
-SCALE, SAFE = 256.0, float(1 << 26)
+#: Doubles beyond SAFE are whole numbers; sums of products of vectors within LARGE, times SCALE each, fit 64 bits.
+SCALE, SAFE, LARGE = 256.0, float(1 << 53), float(1 << 18)
 _SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -43,9 +45,14 @@ def postings(candidates: np.ndarray) -> list[tuple[np.ndarray | slice, np.ndarra
     return out
 
 
-def _exact(q: np.ndarray, c: np.ndarray) -> int:
+def _whole(x: float) -> int:
+    """floor(256 x), also where 256 x is no double any more."""
+    return int(x) << 8 if abs(x) > SAFE else math.floor(SCALE * x)
+
+
+def _exact(q: list[float], c: list[float]) -> int:
     """Inner product of vectors too large for 64-bit sums, held to 64 bits."""
-    s = sum(int(a) * int(b) for a, b in zip(q, c))
+    s = sum(_whole(a) * _whole(b) for a, b in zip(q, c))
     return max(-(1 << 63), min((1 << 63) - 1, s))
 
 
@@ -56,18 +63,18 @@ def search_chunk(ids: np.ndarray, lists: pa.ListArray, path: str, k: int, block:
     for qids, qlists in query_blocks(path, block):
         d = max(dims, width(qlists))
         if known is None or known[0] != d:
-            c = np.floor(SCALE * matrix(lists, d))
-            large = np.flatnonzero((np.abs(c) > SAFE).any(1))
+            c = matrix(lists, d)
+            large = np.flatnonzero((np.abs(c) > LARGE).any(1))
             small = c.copy()
             small[large] = 0
-            known = (d, c, large, postings(small.astype(np.int64)))
+            known = (d, c, large, postings(np.floor(SCALE * small).astype(np.int64)))
         _, c, large, terms = known
-        q = np.floor(SCALE * matrix(qlists, d))
-        odd = (np.abs(q) > SAFE).any(1)
-        scores = accumulate(np.where(odd[:, None], 0, q).astype(np.int64), terms, len(ids))
+        q = matrix(qlists, d)
+        odd = (np.abs(q) > LARGE).any(1)
+        scores = accumulate(np.floor(SCALE * np.where(odd[:, None], 0, q)).astype(np.int64), terms, len(ids))
         for i, qid in enumerate(qids.tolist()):
             for j in range(len(ids)) if odd[i] else large:
-                scores[i, j] = _exact(q[i], c[j])
+                scores[i, j] = _exact(q[i].tolist(), c[j].tolist())
             at = best(scores[i], ids, ids != qid, k)
             out[0].extend([qid] * len(at))
             out[1].append(ids[at])
@@ -86,7 +93,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, chunk: int = 81
     Rows with a null id, a null vector, or a component that is null or not finite
     take no part.  Rows with the query's id are its own.  A candidate row that is
     repeated is a candidate each time.  Vectors of different lengths are compared
-    as if the shorter had zeros behind.  Products beyond 64 bits are held to them."""
+    as if the shorter had zeros behind.  Products beyond 64 bits are held to them,
+    and rank by what they are held to."""
     path = save_queries(usable(queries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,6 +105,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, chunk: int = 81
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of every fiftieth vector, against all."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return top_k(rows, rows.where(F.col("vec_id") % 50 == 0))
 

@@ -4,6 +4,7 @@ and long texts, ties, repeated rows, empty tables and clashing columns."""
 import hashlib
 import itertools
 import json
+import math
 import random
 import struct
 import zlib
@@ -365,6 +366,69 @@ def test_score_is_the_dot_product():
     assert len(f.of("")[0]) == 0 and f.of("a b")[0].tolist() != f.of("b a")[0].tolist()
 
 
+def slow_features(text, bits=op8_quality.BITS):
+    """Counts by bucket, from the definition, in whole numbers."""
+    import re
+
+    import xxhash
+
+    m64 = (1 << 64) - 1
+    mix, form, pair, again = (int(x) for x in (op8_quality._MIX, op8_quality._SHAPE, op8_quality._PAIR, op8_quality._AGAIN))
+    n = Counter()
+    w = [xxhash.xxh3_64_intdigest(x) & ~0xFFFFFF | op8_quality.shape(x) & 0xFFFFFF for x in re.findall(r"\w+|[^\w\s]+", text or "")]
+    s = [(x & 0xFFFFFF) * form & m64 for x in w]
+    for x in [*w, *s, *((a ^ b * pair & m64) * pair & m64 for a, b in zip(w, w[1:])), *(a ^ b * pair & m64 for a, b in zip(s, s[1:])), *((a == b) * again + again & m64 for a, b in zip(w, w[1:]))]:
+        n[(x * mix & m64) >> 64 - bits] += 1
+    return n
+
+
+def test_features_against_their_definition():
+    a, b = "x" * 300, "x" * 299 + "y"
+    long = " ".join(random.Random(1).choices(["alpha", "beta", "Gamma", "delta,", "x" * 400, "!!!!!?", "!!!!!!"], k=40_000))
+    assert len(long) > 1 << 21
+    f = op8_quality.Features()
+    for text in ["", "one", "One two two, three 3 THREE", f"{a} {b}", "wow!!!!! ok!!!!?", long, *odd_texts(60)]:
+        n = slow_features(text)
+        at, x = f.of(text)
+        assert at.tolist() == sorted(n)
+        size = sum(k * k for k in n.values()) ** 0.5
+        assert np.allclose(x, [n[k] / size for k in sorted(n)], rtol=1e-12)
+    assert f.of(a)[0].tolist() != f.of(b)[0].tolist()
+
+
+def test_training_and_scores_against_slow_versions(spark):
+    r = random.Random(11)
+    rows = [(i, " ".join(r.choice("ab cd ef gh ij kl".split()) + ("!" if i % 3 == 0 and r.random() < 0.4 else "") for _ in range(20)), int(i % 3 > 0)) for i in range(60)]
+    docs = spark.createDataFrame([x[:2] for x in rows] + [rows[1][:2], (1, "zz")], "doc_id long, text string")  # a repeated row, and a second text of an id
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.02, 0.1
+    z, n, bias = defaultdict(float), defaultdict(float), -1
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((beta + n[k] ** 0.5) / alpha + l2)
+
+    def vector(text):
+        c = slow_features(text)
+        size = sum(v * v for v in c.values()) ** 0.5 or 1
+        return {k: v / size for k, v in c.items()}
+
+    order = [r.doc_id for r in labels.where(~op8_quality.held_out()).orderBy(F.xxhash64("doc_id")).collect()]
+    by = {i: (vector(t), y) for i, t, y in rows}
+    for _ in range(16):
+        for i in order:
+            x, y = by[i]
+            x = {k: float(np.float32(v)) for k, v in x.items()} | {bias: 1.0}
+            p = 1 / (1 + math.exp(-sum(weight(k) * v for k, v in x.items())))
+            for k, v in x.items():
+                g, w = (p - y) * v, weight(k)
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / alpha * w
+                n[k] += g * g
+    got = {(x.doc_id, x.text): x.score for x in op8_quality.score(docs, op8_quality.train(docs, labels)).collect()}
+    for i, t, _ in rows:
+        want = 1 / (1 + math.exp(-weight(bias) - sum(weight(k) * v for k, v in vector(t).items())))
+        assert abs(got[i, t] - want) < 1e-4, (i, got[i, t], want)
+
+
 # 10
 def test_fingerprint_against_its_definition():
     import xxhash

@@ -1,6 +1,7 @@
 import math
 import random
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -149,3 +150,32 @@ def test_members_hold_the_least_of_each_vector():
             for own in range(30):
                 least = lambda at: sorted(ids[at][(vector[at] == v) & (ids[at] != own)])[:3]
                 assert least(part) == least(np.arange(400))
+
+
+def test_numbers_at_the_ends_of_doubles(spark):
+    rows = [(0, [1e-170, 2e-170]), (1, [3e-170, 6e-170]), (2, [1e306, 2e306]), (50, [1.5e308, -1e300]), (3, [0.0, -1.0]), (4, [5e-324, 0.0]), (5, [0.0, 0.0]), (6, [-1.7e308, 1.7e308])]
+    df = spark.createDataFrame([(i, v, 0, "x", "y") for i, v in rows], SCHEMA.replace("array<float>", "array<double>"))
+    whole = lambda v: [math.floor(Fraction(x) * 256) for x in v]
+    held = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    dot = {q: sorted(((-held(sum(a * b for a, b in zip(whole(v), whole(w)))), i) for i, w in rows if i != q))[:5] for q, v in rows if q % 50 == 0}
+    assert run(op9_topk.top_k, df) == {q: [(i, -s) for s, i in x] for q, x in dot.items()}
+    got = run(op3_graph.search, df)
+
+    def cosine(v, w):
+        v, w = [Fraction(x) for x in v], [Fraction(x) for x in w]
+        big = lambda x: max(map(abs, x))
+        v, w = [float(x / big(v)) for x in v], [float(x / big(w)) for x in w]
+        return sum(a * b for a, b in zip(v, w)) / math.hypot(*v) / math.hypot(*w)
+
+    for q, v in rows:
+        if q % 50 == 0:
+            want = {i: cosine(v, w) for i, w in rows if i not in (q, 5)}
+            assert len(got[q]) == 5 and all(abs(want[i] - s) < 1e-12 for i, s in got[q])
+            assert min(s for _, s in got[q]) >= sorted(want.values())[-5] - 1e-12
+
+
+def test_scaling_changes_no_bit_of_a_score():
+    r = np.random.RandomState(5)
+    a, b = r.randn(200, 16) * 1000, r.randn(200, 16) / 999
+    score = lambda v, w: (v * w).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((w * w).sum(1)))
+    assert (score(a, b) == score(op3_graph.scaled(a), op3_graph.scaled(b))).all()
