@@ -1,4 +1,7 @@
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -39,3 +42,13 @@ def test_same_rows_as_sql(spark, con, name):
 def test_entry(spark):
     assert len(entry.entry(spark).collect()) == 20
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_the_optional_operators(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for left in ((), ("corpus_pipeline.py",)):
+        at = tmp_path / f"tree{len(left)}"
+        shutil.copytree(root, at, ignore=lambda _, names: [n for n in names if n in ("llm", "__pycache__", ".git", *left)])
+        run = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.oracle_sql()), 'pipeline' in e.queries(), len(e.queries()))"
+        out = subprocess.run([sys.executable, "-B", "-c", run], cwd=at, env={**os.environ, "PYTHONPATH": str(at)}, capture_output=True, text=True, check=True).stdout
+        assert out.split() == ["True", "False", str(len(suite.queries()))]
