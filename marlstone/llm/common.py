@@ -14,7 +14,8 @@ from typing import TypeVar
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 T_ = TypeVar("T_")
@@ -50,6 +51,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_key(doc_id: str, row: str) -> tuple[Column, Column]:
+    """What tells documents apart where rows may have no id or the same: the id (a
+    null one counts as the least) and a hash of the text.  Rows alike in both are one."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias(doc_id), F.xxhash64("text").alias(row)
+
+
+def with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """``docs`` with the last column of ``lists`` (``_id``, ``_row``, and that) of its
+    documents.  The side with the lists is hashed, so texts are moved but not sorted;
+    a row that is repeated very often is split by AQE."""
+    name = lists.columns[-1]
+    left = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], *row_key("__id", "__row"))
+    on = (F.col("__id") == F.col("_id")) & (F.col("__row") == F.col("_row"))
+    both = left.join(lists.hint("shuffle_hash"), on, "left")
+    return both.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], name)
+
+
 def file_at(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri.replace("file:///", "file:/").replace("file:/", "file:///"))
 

@@ -21,10 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import record, rows_of, slices, stored
+from .common import record, row_key, rows_of, slices, stored, with_lists
 
 WORDS, ALONE = 25, 50
-NO_ID = -(1 << 63)
 _GAP = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
@@ -83,35 +82,38 @@ def runs(text: str, words: int = WORDS, alone: int = ALONE, tails: bool = False)
 
 
 def occurrences(docs: DataFrame, words: int, alone: int, tails: bool) -> DataFrame:
-    """hi, lo, doc_id, at, size of each run."""
-    schema = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("size", pa.int32())])
+    """hi, lo, doc_id, row (a hash of the text), at, size of each run."""
+    schema = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("size", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
-                ids, at, size, keys = [], [], [], []
-                for d, t in zip(b.column("doc_id").to_pylist(), rows_of(b.column("text"))):
+                ids, rows, at, size, keys = [], [], [], [], []
+                for d, r, t in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), rows_of(b.column("text"))):
                     if t:
                         a, s, k = runs(t, words, alone, tails)
-                        ids.append(np.full(len(a), NO_ID if d is None else d))
+                        ids.append(np.full(len(a), d))
+                        rows.append(np.full(len(a), r))
                         at += a
                         size += s
                         keys.append(k)
                 if at:
                     k = np.concatenate(keys)
-                    yield record(schema, {"hi": np.ascontiguousarray(k[:, 0]), "lo": np.ascontiguousarray(k[:, 1]), "doc_id": np.concatenate(ids), "at": at, "size": size})
+                    yield record(schema, {"hi": np.ascontiguousarray(k[:, 0]), "lo": np.ascontiguousarray(k[:, 1]), "doc_id": np.concatenate(ids), "row": np.concatenate(rows), "at": at, "size": size})
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "hi long, lo long, doc_id long, at int, size int")
+    return docs.select(*row_key("doc_id", "row"), "text").mapInArrow(run, "hi long, lo long, doc_id long, row long, at int, size int")
 
 
 def repeated(docs: DataFrame, words: int = WORDS, alone: int = ALONE, tails: bool = False) -> DataFrame:
-    """_id and ``_spans``: the repeated spans of each document that has any."""
+    """``_id``, ``_row`` and ``_spans``: the repeated spans of each document that has
+    any."""
     found = stored(occurrences(docs, words, alone, tails), "span-runs")
-    place = F.struct("doc_id", "at")
+    place = F.struct("doc_id", "row", "at")
     first = found.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hi", "lo", "first")
     # One row a hash on the right; a hash that many runs have is split by AQE.
     again = found.join(first, ["hi", "lo"]).where(place != F.col("first"))
-    return again.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("at", "size")).alias("_spans"))
+    # No list is longer than the runs of one text.
+    return again.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set(F.struct("at", "size")).alias("_spans"))
 
 
 def without_spans(text: str | None, spans: list[dict] | None) -> tuple[str, list[tuple[int, int]], int]:
@@ -135,21 +137,15 @@ def without_spans(text: str | None, spans: list[dict] | None) -> tuple[str, list
     return "".join(text[a:b] for (a, b), g in zip(cut, gone) if not g), stretches, len(cut)
 
 
-def _joined(docs: DataFrame, words: int, alone: int, tails: bool) -> DataFrame:
-    spans = repeated(docs, words, alone, tails)
-    on = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == spans["_id"]
-    return docs.join(spans.hint("shuffle_hash"), on, "left").drop(spans["_id"])
-
-
 def dedup_spans(docs: DataFrame, words: int = WORDS, alone: int = ALONE, tails: bool = False) -> DataFrame:
     """``docs`` with ``text`` less its repeated spans.  ``tails``: all sentences of a
     repeated passage that has a run, not only those from which a run starts in it.
 
-    A null id comes before any other.  Rows of one id are one document: the same
-    place in them is one place, and all lose the same spans.  Null text becomes
-    empty.  A column n_chars, if there, is brought up to date; others pass."""
+    A null id comes before any other.  Of one id, texts come by a hash of them, and
+    rows of the same text are one document, which lose the same spans.  Null text
+    becomes empty.  A column n_chars, if there, is brought up to date; others pass."""
     cols = docs.columns
-    df, at = _joined(docs, words, alone, tails), cols.index("text")
+    df, at = with_lists(docs, repeated(docs, words, alone, tails)), cols.index("text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
@@ -168,7 +164,7 @@ def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_sentences, n_removed (characters), removed (start and end of each
     stretch that went) and the text that stays, of each document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("cast(doc_id as bigint) doc_id", "text")
-    df = _joined(docs, WORDS, ALONE, tails=True)
+    df = with_lists(docs, repeated(docs, tails=True))
     stretch = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("removed", stretch), ("text", pa.string())])
 

@@ -1,24 +1,26 @@
 """Line dedup on levelled sorted runs.
 
-The index of lines is a set of sorted runs of (key hash, documents, last
-document), one file for each run and each share of the hash space.  Documents
-come in batches.  Each batch's keys, sorted, are merge-anti-joined with the live
-runs (which of them are new?), and the batch adds a run of its own; when a level
-holds ``fan_in`` runs they are compacted into one of the next level, equal keys
-added up.  At the end a merge of the live runs gives the keys found in enough
-documents, and all lines with such a key go but those of the last document.
-
-A key is hashed to 128 bits.  A task reads the runs it is told of and writes files
-under new names; the driver drops old runs after the job.  So a task that is run
+The index of lines is a set of sorted runs of (key hash, documents, last document,
+own), one file for each run and each share of the hash space.  Documents come in
+batches.  Each batch's keys, sorted, are merge-anti-joined with the live runs.  The
+keys that no run has are new: they are entries of their own in the batch's run.  For
+keys that a run has already, the batch's run only holds what is to be added to that
+entry.  When a level holds ``fan_in`` runs they are compacted into one of the next
+level, and what is to be added goes to its entry if both are there.  At the end the
+live runs are merged: every key has one entry, and its counts are added to it.  Lines
+go if their key is in enough documents, but in the last document.
+
+A key is hashed to 128 bits.  Runs are read and written in blocks, so a task holds a
+block a run, whatever a run's size.  A task reads the runs it is told of and writes
+files under new names; the driver drops old runs after the job.  So a task that is run
 again, on whatever executor, finds what it needs and writes the same."""
 
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
+import uuid
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_at, get_file, make_dir, put_file, record, rows_of, shared_path, slices, stored
+from .common import file_at, make_dir, record, row_key, rows_of, shared_path, slices, stored, with_lists
 
 STRIP = b" \t\n\v\f\r"
-RUN = np.dtype([("hi", "<i8"), ("lo", "<i8"), ("n", "<i8"), ("last", "<i8")])
-NO_ID = -(1 << 63)
+RUN = np.dtype([("hi", "<i8"), ("lo", "<i8"), ("n", "<i8"), ("last", "<i8"), ("own", "i1")])
+BLOCK = 1 << 16
 
 
 def key_hash(line: bytes, least: int) -> tuple[int, int] | None:
@@ -46,35 +48,55 @@ def key_hash(line: bytes, least: int) -> tuple[int, int] | None:
 
 
 def line_keys(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id and hash of each key of a row, once a row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
+    """doc_id, row (a hash of the text) and hash of each key of a row, once a row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
-                ids, hi, lo = [], [], []
-                for d, t in zip(b.column("doc_id").to_pylist(), rows_of(b.column("text"))):
+                ids, rows, hi, lo = [], [], [], []
+                for d, r, t in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), rows_of(b.column("text"))):
                     found = {key_hash(x, least) for x in t.encode().split(b"\n")} if t else set()
                     found.discard(None)
                     for a, c in found:
-                        ids.append(NO_ID if d is None else d)
+                        ids.append(d)
+                        rows.append(r)
                         hi.append(a)
                         lo.append(c)
                 if ids:
-                    yield record(schema, {"doc_id": ids, "hi": hi, "lo": lo})
+                    yield record(schema, {"doc_id": ids, "row": rows, "hi": hi, "lo": lo})
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, hi long, lo long")
+    return docs.select(*row_key("doc_id", "row"), "text").mapInArrow(run, "doc_id long, row long, hi long, lo long")
+
+
+def together(streams: list[Iterator[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """Sorted streams of blocks in step: of each stream what is at most a key that
+    all have come to.  So equal keys come together, and a block a stream is held."""
+    heads = [next(s, None) for s in streams]
+    while live := [h for h in heads if h is not None]:
+        hi, lo = min((int(h["hi"][-1]), int(h["lo"][-1])) for h in live)
+        out = []
+        for i, h in enumerate(heads):
+            if h is None:
+                out.append(np.zeros(0, RUN))
+                continue
+            k = int(((h["hi"] < hi) | (h["hi"] == hi) & (h["lo"] <= lo)).sum())
+            out.append(h[:k])
+            heads[i] = h[k:] if k < len(h) else next(streams[i], None)
+        yield out
 
 
 def merge(runs: list[np.ndarray]) -> np.ndarray:
-    """One sorted run of several: counts added, last documents' maximum."""
-    x = np.concatenate(runs) if runs else np.zeros(0, RUN)
-    if not len(x):
-        return x
+    """One sorted run of several: documents added, last documents' maximum.  No key
+    has two entries of its own."""
+    x = np.concatenate(runs)
     x = x[np.lexsort((x["lo"], x["hi"]))]
     heads = np.flatnonzero(np.r_[True, (x["hi"][1:] != x["hi"][:-1]) | (x["lo"][1:] != x["lo"][:-1])])
     out = x[heads].copy()
-    out["n"], out["last"] = np.add.reduceat(x["n"], heads), np.maximum.reduceat(x["last"], heads)
+    for name, f in (("n", np.add), ("last", np.maximum), ("own", np.add)):
+        out[name] = f.reduceat(x[name], heads)
+    if (out["own"] > 1).any():
+        raise RuntimeError("a key is in two runs")
     return out
 
 
@@ -94,14 +116,34 @@ def unknown(batch: np.ndarray, runs: list[np.ndarray]) -> np.ndarray:
     return new
 
 
-def _load(at: str, name: str, share: int) -> np.ndarray:
-    return np.load(io.BytesIO(get_file(f"{at}/{name}/{share:06d}.npy")))
+class Shares:
+    """The files of runs below a folder: each run has one for each share."""
+
+    def __init__(self, at: str):
+        self.at = at
 
+    def read(self, name: str, share: int) -> Iterator[np.ndarray]:
+        at, root = file_at(self.at)
+        path = f"{root}/{name}/{share:06d}.run"
+        if at.get_file_info(path).type.name == "NotFound":
+            return
+        with at.open_input_stream(path) as f:
+            while data := f.read(BLOCK * RUN.itemsize):
+                yield np.frombuffer(data, RUN)
+
+    def write(self, name: str, share: int, blocks: Iterator[np.ndarray]) -> None:
+        """Whole file or none."""
+        at, root = file_at(self.at)
+        path = f"{root}/{name}/{share:06d}.run"
+        part = f"{path}.{uuid.uuid4().hex}.part"
+        with at.open_output_stream(part) as out:
+            for b in blocks:
+                out.write(b.tobytes())
+        at.move(part, path)
 
-def _save(at: str, name: str, share: int, run: np.ndarray) -> None:
-    data = io.BytesIO()
-    np.save(data, run)
-    put_file(f"{at}/{name}/{share:06d}.npy", data.getvalue())
+    def merged(self, names: list[str], share: int) -> Iterator[np.ndarray]:
+        for blocks in together([self.read(n, share) for n in names]):
+            yield merge(blocks)
 
 
 class LineRuns:
@@ -128,24 +170,32 @@ class LineRuns:
         for n in [own, *(m for _, m in merges)]:
             make_dir(f"{self.at}/{n}")
         live = [n for level in self.levels for n in level]
-        counts = keys.distinct().groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
-        parts = counts.repartition(self.shares, "hi").select("hi", "lo", "n", "last")
-        load, save = partial(_load, self.at), partial(_save, self.at)
+        counts = keys.select("doc_id", "hi", "lo").distinct().groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
+        parts = counts.repartition(self.shares, "hi").select("hi", "lo", "n", "last").sortWithinPartitions("hi", "lo")
+        files = Shares(self.at)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            share = TaskContext.get().partitionId()
-            got = []
+        def sorted_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             for b in batches:
-                x = np.zeros(b.num_rows, RUN)
-                for i, c in enumerate(RUN.names):
-                    x[c] = b.column(i).to_numpy()
-                got.append(x)
-            batch = merge(got)
-            new = unknown(batch, [load(n, share) for n in live])
-            save(own, share, batch)
+                if b.num_rows:
+                    x = np.zeros(b.num_rows, RUN)
+                    for i, c in enumerate(RUN.names[:4]):
+                        x[c] = b.column(i).to_numpy()
+                    yield x
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            share, found = TaskContext.get().partitionId(), [0, 0]
+
+            def entries() -> Iterator[np.ndarray]:
+                for batch, *runs in together([sorted_keys(batches), *(files.read(n, share) for n in live)]):
+                    if len(batch):
+                        batch["own"] = new = unknown(batch, runs)
+                        found[0], found[1] = found[0] + len(batch), found[1] + int(new.sum())
+                        yield batch
+
+            files.write(own, share, entries())
             for names, to in merges:
-                save(to, share, merge([load(n, share) for n in names]))
-            yield pa.RecordBatch.from_pydict({"keys": [len(batch)], "new": [int(new.sum())]})
+                files.write(to, share, files.merged(names, share))
+            yield pa.RecordBatch.from_pydict({"keys": found[:1], "new": found[1:]})
 
         done = parts.mapInArrow(run, "keys long, new long").agg(F.sum("keys"), F.sum("new")).collect()[0]
         if done[0] is None:  # no key at all: no task ran, and there is no run
@@ -159,31 +209,35 @@ class LineRuns:
 
     def frequent(self, least: int) -> DataFrame:
         """hi, lo, last of the keys of at least ``least`` documents."""
-        live, load = [n for level in self.levels for n in level], partial(_load, self.at)
+        live, files = [n for level in self.levels for n in level], Shares(self.at)
         schema = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("last", pa.int64())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for share in b.column("id").to_pylist():
-                    x = merge([load(n, share) for n in live])
-                    x = x[x["n"] >= least]
-                    for i in range(0, len(x), 100_000):
-                        yield record(schema, {c: x[c][i : i + 100_000] for c in schema.names})
+                    for x in files.merged(live, share):
+                        if not x["own"].all():
+                            raise RuntimeError("a key is in no run")
+                        x = x[x["n"] >= least]
+                        yield record(schema, {c: np.ascontiguousarray(x[c]) for c in schema.names})
 
         return self.spark.range(0, self.shares, 1, self.shares).mapInArrow(run, "hi long, lo long, last long")
 
 
 def surplus(docs: DataFrame, least: int = 40, documents: int = 5, batches: int = 4) -> DataFrame:
-    """doc_id and ``_drop``, the hashes of the keys whose lines it loses."""
-    spark = docs.sparkSession
-    pairs = stored(line_keys(docs, least), "line-keys")
+    """``_id``, ``_row`` and ``_drop``, the hashes of the keys whose lines go there."""
+    spark, path = docs.sparkSession, shared_path(docs.sparkSession, "line-keys")
+    keys = line_keys(docs, least).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
+    keys.write.partitionBy("batch").parquet(path)
+    pairs = spark.read.schema(keys.schema).parquet(path)
     runs = LineRuns(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
     for k in range(batches):
-        runs.add(pairs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
+        runs.add(pairs.where(F.col("batch") == k))  # reads the batch's folder only
     hot = stored(runs.frequent(documents), "line-frequent")
     # A hot key's rows are on one side only; AQE splits that partition, or broadcasts the keys where it finds them small.
-    gone = pairs.join(hot, ["hi", "lo"]).where("doc_id <> last").select("doc_id", "hi", "lo").distinct()
-    return gone.groupBy("doc_id").agg(F.collect_list(F.struct("hi", "lo")).alias("_drop")).withColumnRenamed("doc_id", "_id")
+    gone = pairs.join(hot, ["hi", "lo"]).where("doc_id <> last")
+    # No list is longer than the lines of one text.
+    return gone.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set(F.struct("hi", "lo")).alias("_drop"))
 
 
 def without_lines(text: str | None, drop: list[dict] | None, least: int) -> tuple[str, int, int]:
@@ -197,13 +251,6 @@ def without_lines(text: str | None, drop: list[dict] | None, least: int) -> tupl
     return b"\n".join(kept).decode(), n, n - len(kept)
 
 
-def _joined(docs: DataFrame, drops: DataFrame) -> DataFrame:
-    """docs with ``_drop``.  The side with the lists is hashed, so texts are moved
-    but not sorted; ids hardly repeat, so no partition is hot."""
-    on = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == drops["_id"]
-    return docs.join(drops.hint("shuffle_hash"), on, "left").drop(drops["_id"])
-
-
 def dedup_lines(docs: DataFrame, least: int = 40, documents: int = 5, batches: int = 4) -> DataFrame:
     """``docs`` with ``text`` less the lines whose key (stripped, lower-cased in
     A-Z, at least ``least`` code points) is found in ``documents`` ids or more, but
@@ -213,7 +260,7 @@ def dedup_lines(docs: DataFrame, least: int = 40, documents: int = 5, batches: i
     document for counting, and all lose the same keys.  Null text becomes empty.
     A column n_chars, if there, is brought up to date; other columns pass."""
     cols = docs.columns
-    df = _joined(docs, surplus(docs, least, documents, batches))
+    df = with_lists(docs, surplus(docs, least, documents, batches))
     at, drop = cols.index("text"), len(cols)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +277,9 @@ def dedup_lines(docs: DataFrame, least: int = 40, documents: int = 5, batches: i
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, dropped lines and what stays of each document, as ``dedup_lines`` has it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("cast(doc_id as bigint) doc_id", "text")
-    df = _joined(docs, surplus(docs))
+    df = with_lists(docs, surplus(docs))
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

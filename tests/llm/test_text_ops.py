@@ -284,8 +284,44 @@ def test_line_runs_compact_and_know_new_keys(spark):
 
 
 def test_keys_that_share_64_bits():
-    run = np.array([(1, 1, 1, 1), (1, 5, 1, 1), (2, 0, 1, 1)], op6_lines.RUN)
-    assert op6_lines.unknown(np.array([(1, 3, 1, 1), (1, 5, 1, 1), (2, 0, 1, 1), (9, 9, 1, 1)], op6_lines.RUN), [run]).tolist() == [True, False, False, True]
+    run = np.array([(1, 1, 1, 1, 1), (1, 5, 1, 1, 1), (2, 0, 1, 1, 1)], op6_lines.RUN)
+    assert op6_lines.unknown(np.array([(1, 3, 1, 1, 0), (1, 5, 1, 1, 0), (2, 0, 1, 1, 0), (9, 9, 1, 1, 0)], op6_lines.RUN), [run]).tolist() == [True, False, False, True]
+
+
+@pytest.mark.parametrize("answer", [False, True])
+def test_the_anti_join_decides(spark, monkeypatch, tmp_path, answer):
+    batches = [np.array([(k, 0, 1, b, 0) for k in keys], op6_lines.RUN) for b, keys in enumerate(([1, 2], [2, 3]))]
+    files = op6_lines.Shares(f"file://{tmp_path}")
+    (tmp_path / "r0").mkdir(), (tmp_path / "r1").mkdir()
+
+    def load(found):
+        for i, b in enumerate(batches):
+            b = b.copy()
+            b["own"] = found(b, [x for k in range(i) for x in files.read(f"r{k}", 0)])
+            files.write(f"r{i}", 0, iter([b]))
+        return [tuple(x) for blocks in files.merged(["r0", "r1"], 0) for x in blocks.tolist()]
+
+    assert load(op6_lines.unknown) == [(1, 0, 1, 0, 1), (2, 0, 2, 1, 1), (3, 0, 1, 1, 1)]
+    if answer:
+        with pytest.raises(RuntimeError):
+            load(lambda b, _: np.full(len(b), answer))
+    else:
+        assert not any(x[4] for x in load(lambda b, _: np.full(len(b), answer)))
+
+
+def test_runs_in_blocks(monkeypatch, tmp_path):
+    monkeypatch.setattr(op6_lines, "BLOCK", 3)
+    r = random.Random(7)
+    files, want = op6_lines.Shares(f"file://{tmp_path}"), {}
+    for k in range(4):
+        (tmp_path / f"r{k}").mkdir()
+        keys = sorted({(r.randrange(9), r.randrange(9)) for _ in range(r.randrange(40))})
+        x = np.array([(a, b, 1, k, (a, b) not in want) for a, b in keys], op6_lines.RUN)
+        for a, b in keys:
+            want[a, b] = (want.get((a, b), (0, 0))[0] + 1, k)
+        files.write(f"r{k}", 5, iter([x] if len(x) else []))
+    got = [tuple(x) for blocks in files.merged([f"r{k}" for k in range(4)], 5) for x in blocks.tolist()]
+    assert got == [(a, b, *want[a, b], 1) for a, b in sorted(want)]
 
 
 # 7
