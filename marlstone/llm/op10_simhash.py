@@ -7,8 +7,8 @@ of distances to reference fingerprints (pivots) is made; by the triangle
 inequality a pair whose distances to any pivot differ by more than the limit is
 no link and is dropped without being compared, and survivors are verified.  A
 file's members differ in at most 22 bits, so it is bounded; one of over ``MANY``
-members is searched by changing up to two of those bits of each member instead,
-which costs no pairs.  Each file gives a forest of links, and all forests together
+members is filed again by the same rule within these bits, after which a file has at
+most 256 members, and its pivot tables are searched like any other's.  Each file gives a forest of links, and all forests together
 the components."""
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import record, rows_of, slices, stored
+from .common import record, rows_of, slices, stored, with_lists
 from .components import components
 
 MANY = 1024
@@ -47,16 +47,17 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id and fingerprint (the 64 bits as a signed number) of each row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """doc_id, row (a hash of the text) and fingerprint (the 64 bits as a signed
+    number) of each row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
                 got = np.array([fingerprint(t, size) for t in rows_of(b.column("text"))], np.uint64)
-                yield record(schema, {"doc_id": b.column("doc_id"), "fp": got.view(np.int64)})
+                yield record(schema, {"doc_id": b.column("doc_id"), "row": b.column("row"), "fp": got.view(np.int64)})
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "xxhash64(text) row", "text").mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -92,17 +93,20 @@ def near_pairs(x: np.ndarray, group: np.ndarray, most: int = 2) -> tuple[np.ndar
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
 
 
-def near_by_flips(x: np.ndarray, free: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same for one large group, sorted, whose members differ in bits of
-    ``free`` only: each member with one or two of these bits changed is looked up."""
-    bits = [np.uint64(1 << i) for i in range(64) if free >> i & 1]
+def near_in_parts(x: np.ndarray, free: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one large group whose members differ in bits of ``free`` only:
+    these bits, too, agree in four of six blocks of a pair."""
+    blocks = [sum(1 << int(i) for i in part) for part in np.array_split([i for i in range(64) if free >> i & 1], 6)]
     a, b = [], []
-    for change in [*bits, *(p | q for p, q in combinations(bits, 2))]:
-        y = x ^ change
-        i = np.minimum(np.searchsorted(x, y), len(x) - 1)
-        ok = (x[i] == y) & (y > x)
-        a.append(np.flatnonzero(ok))
-        b.append(i[ok])
+    for part in combinations(blocks, 4):
+        key = x & np.uint64(sum(part))
+        order = np.argsort(key, kind="stable")
+        group = np.cumsum(np.r_[True, key[order][1:] != key[order][:-1]])
+        size = np.bincount(group)[group]
+        order, group = order[size > 1], group[size > 1]
+        i, j = near_pairs(x[order], group)
+        a.append(order[i])
+        b.append(order[j])
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -126,8 +130,7 @@ def links(distinct: DataFrame) -> DataFrame:
         a, b = [at[i]], [at[j]]
         for g in np.unique(group[size > MANY]).tolist():
             at = np.flatnonzero(group == g)
-            at = at[np.argsort(x[at])]
-            i, j = near_by_flips(x[at], ~MASKS[int(c[at[0]])] & (1 << 64) - 1)
+            i, j = near_in_parts(x[at], ~MASKS[int(c[at[0]])] & (1 << 64) - 1)
             a.append(at[i])
             b.append(at[j])
         a, b = np.concatenate(a), np.concatenate(b)
@@ -152,28 +155,39 @@ def links(distinct: DataFrame) -> DataFrame:
     return filed.mapInArrow(run, "a long, b long")
 
 
+def _named(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's fingerprint, and of every fingerprint its component: root, and as
+    ``first`` the document of it that is first (a null id is least; then the
+    fingerprint and the text's hash decide)."""
+    fps = stored(fingerprints(docs, size), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("has_id"), "doc_id", "fp", "row"))
+    least = stored(fps.groupBy("fp").agg(first.alias("first")), "simhash-distinct")
+    linked = components(links(least.select("fp")), "simhash-links").withColumnRenamed("node", "fp")
+    known = least.join(linked, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    group = known.groupBy("root").agg(F.min("first").alias("first"))
+    return fps, stored(known.select("fp", "root").join(group, "root"), "simhash-named")
+
+
 def near_components(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id, fp, component_id (least doc_id reachable) of each row.
 
     Null or blank texts have fingerprint zero and link like others.  A null id is
     less than any other; rows of one id each have a row.  No rows: none."""
-    fps = stored(fingerprints(docs, size), "simhash")
-    least = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("no_id")), "simhash-distinct")
-    linked = components(links(least.select("fp")), "simhash-links").withColumnRenamed("node", "fp")
-    known = least.join(linked, "fp", "left").select("fp", "least", "no_id", F.coalesce("root", "fp").alias("root"))
-    group = known.groupBy("root").agg(F.min("least").alias("least"), F.max("no_id").alias("no_id"))
-    named = known.select("fp", "root").join(group, "root").select("fp", F.when(~F.col("no_id"), F.col("least")).alias("component_id"))
-    # One row a fingerprint on this side; a fingerprint that many rows have is split by AQE.
-    return fps.join(stored(named, "simhash-named"), "fp")
+    fps, named = _named(docs, size)
+    # One row a fingerprint on the right; a fingerprint that many rows have is split by AQE.
+    return fps.join(named.select("fp", F.col("first.doc_id").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
 def dedup_near(docs: DataFrame, size: int = 3) -> DataFrame:
-    """``docs`` less all rows of a component but one, that of the least doc_id (of
-    several rows with that id, the one of least text)."""
-    groups = near_components(docs, size).where("doc_id = component_id or doc_id is null and component_id is null").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(groups.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(groups["_id"]), "left_semi")
+    """``docs`` less all documents of a component but its first: of least id, a null
+    one first, then of least fingerprint and hash of the text.  Rows alike in id and
+    text are one document, and all stay with it."""
+    _, named = _named(docs, size)
+    kept = named.select(*[F.coalesce("first.doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("first.row").alias("_row")]).distinct()
+    return with_lists(docs, kept.withColumn("__kept", F.lit(True))).where("__kept").drop("__kept")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component."""
     got = near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

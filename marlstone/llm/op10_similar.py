@@ -16,7 +16,7 @@ but a link counts only if the two sets of shingles have the similarity."""
 from __future__ import annotations
 
 import math
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -26,11 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record, rows_of, slices, stored
+from .common import file_at, record, rows_of, shared_path, slices, stored, with_lists
 from .components import components
 
 SIZE, LEAST, WORDS, FILES, HASHES = 5, 0.8, 8, 10, 3
 HELD = 1 << 21
+NODE = np.dtype("V16")
 _ODD = np.array([xxhash.xxh64_intdigest(bytes([i]), 11) | 1 for i in range(WORDS + FILES * HASHES)], np.uint64)
 PIVOTS = np.frombuffer(b"".join(xxhash.xxh64_digest(bytes([i, j]), 13) for i in range(8) for j in range(WORDS)), np.uint64).reshape(8, WORDS)
 
@@ -75,11 +76,11 @@ def shingles(w: list[bytes], size: int) -> np.ndarray:
     return np.unique(np.fromiter((h(g, 42) for g in grams), np.uint64))
 
 
-def sketch(text: str | None, size: int = SIZE) -> tuple[int, list[int], bytes, int]:
-    """A number for the text's words, its file keys, its SimHash bits, and its
+def sketch(text: str | None, size: int = SIZE) -> tuple[bytes, list[int], bytes, int]:
+    """128 bits for the text's words, its file keys, its SimHash bits, and its
     number of distinct shingles."""
     w = (text or "").encode().lower().split()
-    node = xxhash.xxh3_64_intdigest(b" ".join(w)) - (1 << 63)
+    node = xxhash.xxh3_128_digest(b" ".join(w))
     if not w:
         return node, [], bytes(8 * WORDS), 0
     grams = shingles(w, size)
@@ -95,7 +96,7 @@ def sketch(text: str | None, size: int = SIZE) -> tuple[int, list[int], bytes, i
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("bits", pa.binary()), ("n", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64())), ("bits", pa.binary()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -103,7 +104,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 got = [sketch(t, size) for t in rows_of(b.column("text"))]
                 yield record(schema, {"doc_id": b.column("doc_id"), "hash": b.column("hash"), "node": [x[0] for x in got], "keys": [x[1] for x in got], "bits": [x[2] for x in got], "n": [x[3] for x in got]})
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "xxhash64(text) hash", "text").mapInArrow(run, "doc_id long, hash long, node long, keys array<long>, bits binary, n int")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "xxhash64(text) hash", "text").mapInArrow(run, "doc_id long, hash long, node binary, keys array<long>, bits binary, n int")
 
 
 def reach(bits: np.ndarray, most: int | np.ndarray, alike: Callable[[int, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
@@ -144,7 +145,7 @@ def links(distinct: DataFrame, least: float) -> DataFrame:
     numbers of shingles allow the similarity."""
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     filed = distinct.select(F.explode("keys").alias("k"), "node", "bits", "n").repartition(n, "k").sortWithinPartitions("k", "node")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def solve(k: np.ndarray, node: np.ndarray, bits: np.ndarray, n: np.ndarray) -> pa.RecordBatch | None:
         starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
@@ -154,14 +155,14 @@ def links(distinct: DataFrame, least: float) -> DataFrame:
             m = n[i:j]
             r = reach(bits[i:j], limits(m, least), lambda x, others: of_a_size(m, x, others, least))
             other = np.flatnonzero(r != np.arange(j - i))
-            a.append(node[i:j][other])
-            b.append(node[i:j][r[other]])
-        return record(schema, {"a": np.concatenate(a), "b": np.concatenate(b)}) if a else None
+            a += node[i:j][other].tolist()
+            b += node[i:j][r[other]].tolist()
+        return record(schema, {"a": a, "b": b}) if a else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WORDS), np.uint64), np.zeros(0, np.int32)]
+        held = [np.zeros(0, np.int64), np.zeros(0, NODE), np.zeros((0, WORDS), np.uint64), np.zeros(0, np.int32)]
         for batch in batches:
-            got = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WORDS), batch.column(3).to_numpy()]
+            got = [batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), NODE), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WORDS), batch.column(3).to_numpy()]
             k, node, bits, n_grams = (np.concatenate([h, g]) for h, g in zip(held, got))
             last = np.flatnonzero(k != k[-1])
             whole = int(last[-1]) + 1 if len(last) else 0  # the last file may go on in the next batch
@@ -171,56 +172,79 @@ def links(distinct: DataFrame, least: float) -> DataFrame:
         if len(held[0]) and (out := solve(*held)) is not None:
             yield out
 
-    return filed.mapInArrow(run, "a long, b long")
+    return filed.mapInArrow(run, "a binary, b binary")
 
 
 class Group:
     """Members of one group with their shingles, which beyond ``HELD`` numbers are
-    in a file of the task: a group of any size takes 100 bytes a member or so."""
+    in a file in the shared folder: a group of any size takes 100 bytes a member or so."""
 
-    def __init__(self) -> None:
-        self.nodes: list[int] = []
-        self.bits, self.held, self.at, self.file = bytearray(), [], [0], None
+    def __init__(self, folder: str) -> None:
+        self.nodes: list[bytes] = []
+        self.folder, self.bits, self.held, self.at, self.written = folder, bytearray(), [], [0], 0
+        self.path: str | None = None
 
-    def add(self, node: int, bits: bytes, grams: np.ndarray) -> None:
+    def add(self, node: bytes, bits: bytes, grams: np.ndarray) -> None:
         self.nodes.append(node)
         self.bits += bits
         self.held.append(grams)
         self.at.append(self.at[-1] + len(grams))
-        if self.at[-1] - (self.file.tell() // 8 if self.file else 0) > HELD:
+        if self.at[-1] - self.written > HELD:
             self._flush()
 
     def _flush(self) -> None:
-        self.file = self.file or tempfile.TemporaryFile()
+        if not self.path:
+            self.fs, root = file_at(self.folder)
+            self.fs.create_dir(root, recursive=True)
+            self.path = f"{root}/{uuid.uuid4().hex}.part"
+            self.out = self.fs.open_output_stream(self.path)
         for g in self.held:
-            self.file.write(g.tobytes())
-        self.file.flush()
-        self.held = []
+            self.out.write(g.tobytes())
+        self.written, self.held = self.at[-1], []
 
-    def links(self, least: float) -> tuple[np.ndarray, np.ndarray]:
+    def links(self, least: float) -> tuple[list[bytes], list[bytes]]:
         """Links a-b that connect the members whose sets have the similarity."""
-        if self.file:
+        at, n = np.array(self.at), np.diff(self.at)
+        if self.path:
             self._flush()
-        flat = np.memmap(self.file, np.uint64, "r") if self.file else np.concatenate(self.held)
-        at, nodes = np.array(self.at), np.array(self.nodes)
-        n = np.diff(at)
+            self.out.close()
+            file = self.fs.open_input_file(self.path)
+            stretch = lambda a, b: np.frombuffer(file.read_at(8 * (b - a), 8 * a), np.uint64)
+        else:
+            flat = np.concatenate(self.held)
+            stretch = lambda a, b: flat[a:b]
+
+        def all_of(members: np.ndarray) -> np.ndarray:
+            """The shingles of some members, in order, by few reads."""
+            first, last = at[members], at[members + 1]
+            heads = np.flatnonzero(np.r_[True, first[1:] - last[:-1] > 1 << 13])
+            parts = []
+            for i, j in zip(heads.tolist(), [*heads[1:].tolist(), len(members)]):
+                whole, base = stretch(int(first[i]), int(last[j - 1])), int(first[i])
+                parts += [whole[a - base : b - base] for a, b in zip(first[i:j].tolist(), last[i:j].tolist())]
+            return np.concatenate(parts)
 
         def alike(x: int, others: np.ndarray) -> np.ndarray:
-            own, ok = np.asarray(flat[at[x] : at[x + 1]]), of_a_size(n, x, others, least)
+            own, ok = stretch(int(at[x]), int(at[x + 1])), of_a_size(n, x, others, least)
             rest = others[ok]
             both = np.zeros(len(rest), np.int64)
             part = np.cumsum(n[rest]) // HELD
             for i in np.unique(part).tolist():
                 some = np.flatnonzero(part == i)
-                all_ = np.concatenate([flat[at[j] : at[j + 1]] for j in rest[some].tolist()])
+                all_ = all_of(rest[some])
                 hit = own[np.minimum(np.searchsorted(own, all_), len(own) - 1)] == all_
                 both[some] = np.add.reduceat(hit, np.cumsum(n[rest[some]]) - n[rest[some]], dtype=np.int64)
             ok[ok] = both >= least * (n[x] + n[rest] - both) - 1e-9
             return ok
 
-        r = reach(np.frombuffer(bytes(self.bits), np.uint64).reshape(-1, WORDS), limits(n, least), alike)
-        other = np.flatnonzero(r != np.arange(len(r)))
-        return nodes[other], nodes[r[other]]
+        try:
+            r = reach(np.frombuffer(bytes(self.bits), np.uint64).reshape(-1, WORDS), limits(n, least), alike)
+        finally:
+            if self.path:
+                file.close()
+                self.fs.delete_file(self.path)
+        other = np.flatnonzero(r != np.arange(len(r))).tolist()
+        return [self.nodes[i] for i in other], [self.nodes[r[i]] for i in other]
 
 
 def verified(docs: DataFrame, groups: DataFrame, size: int, least: float) -> DataFrame:
@@ -231,10 +255,10 @@ def verified(docs: DataFrame, groups: DataFrame, size: int, least: float) -> Dat
     # Only grouped nodes' texts go on, one a node (or several rows of one id and text, which are the same node).
     rows = texts.join(groups.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("hash")))
     rows = rows.select("root", "node", "bits", "text").repartition(n, "root").sortWithinPartitions("root", "node")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema, folder = pa.schema([("a", pa.binary()), ("b", pa.binary())]), shared_path(docs.sparkSession, "similar-shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root, group = None, Group()
+        root, group = None, Group(folder)
 
         def done() -> Iterator[pa.RecordBatch]:
             if len(group.nodes) > 1:
@@ -245,12 +269,27 @@ def verified(docs: DataFrame, groups: DataFrame, size: int, least: float) -> Dat
                 for r, node, bits, text in zip(b.column("root").to_pylist(), b.column("node").to_pylist(), b.column("bits").to_pylist(), rows_of(b.column("text"))):
                     if r != root:
                         yield from done()
-                        root, group = r, Group()
+                        root, group = r, Group(folder)
                     if not group.nodes or group.nodes[-1] != node:
                         group.add(node, bits, shingles(text.encode().lower().split(), size))
         yield from done()
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a binary, b binary")
+
+
+def _named(docs: DataFrame, size: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Every row's node, and of every node its component: root, and as ``first`` the
+    document of it that is first (a null id is least; then the text's hash decides)."""
+    rows = stored(sketches(docs, size), "similar")
+    one = F.struct(F.col("doc_id").isNotNull().alias("has_id"), "doc_id", "hash")
+    first = rows.groupBy("node").agg(F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.first("n").alias("n"), F.min(one).alias("one"))
+    first = stored(first, "similar-distinct")
+    near = components(links(first, least), "similar-near")
+    groups = first.select("node", "bits", "one.doc_id", "one.hash").join(near, "node")
+    linked = components(verified(docs, groups, size, least), "similar-links")
+    known = first.join(linked, "node", "left").select("node", "one", F.coalesce("root", "node").alias("root"))
+    group = known.groupBy("root").agg(F.min("one").alias("first"))
+    return rows, stored(known.select("node", "root").join(group, "root"), "similar-named")
 
 
 def similar_components(docs: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFrame:
@@ -259,19 +298,14 @@ def similar_components(docs: DataFrame, size: int = SIZE, least: float = LEAST)
     ``least`` and share a file.  Texts of the same words, case aside, are linked, blank and null ones among
     them; a text of fewer words than ``size`` is one shingle.  A null id is less than
     any other."""
-    rows = stored(sketches(docs, size), "similar")
-    first = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("no_id"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.first("n").alias("n"), F.first(F.struct("doc_id", "hash")).alias("one"))
-    first = stored(first, "similar-distinct")
-    near = components(links(first, least), "similar-near")
-    groups = first.select("node", "bits", "one.doc_id", "one.hash").join(near, "node")
-    linked = components(verified(docs, groups, size, least), "similar-links")
-    known = first.join(linked, "node", "left").select("node", "least", "no_id", F.coalesce("root", "node").alias("root"))
-    group = known.groupBy("root").agg(F.min("least").alias("least"), F.max("no_id").alias("no_id"))
-    named = known.select("node", "root").join(group, "root").select("node", F.when(~F.col("no_id"), F.col("least")).alias("component_id"))
-    return rows.select("doc_id", "node").join(stored(named, "similar-named"), "node").select("doc_id", "component_id")
+    rows, named = _named(docs, size, least)
+    return rows.select("doc_id", "node").join(named.select("node", F.col("first.doc_id").alias("component_id")), "node").select("doc_id", "component_id")
 
 
 def dedup_similar(docs: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFrame:
-    """``docs`` less all rows of a component but those with its least doc_id."""
-    kept = similar_components(docs, size, least).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(kept["_id"]), "left_semi")
+    """``docs`` less all documents of a component but its first: of least id, a null
+    one first, then of least hash of the text.  Rows alike in id and text are one
+    document, and all stay with it."""
+    _, named = _named(docs, size, least)
+    kept = named.select(F.coalesce("first.doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("first.hash").alias("_row")).distinct()
+    return with_lists(docs, kept.withColumn("__kept", F.lit(True))).where("__kept").drop("__kept")

@@ -508,12 +508,20 @@ def test_links_against_all_pairs(spark, monkeypatch, many):
     assert Counter(frozenset(g) for g in by.values()) == Counter({g: n for g, n in want.items() if len(g) > 1})
 
 
-def test_large_files_by_flips():
+def test_large_files_are_filed_again():
     r = random.Random(4)
     free = (1 << 22) - 1
     x = np.array(sorted({r.getrandbits(22) for _ in range(3000)}), np.uint64)
-    pairs = lambda p: sorted(zip(*(v.tolist() for v in p)))
-    assert pairs(op10_simhash.near_by_flips(x, free)) == pairs(op10_simhash.near_pairs(x, np.zeros(len(x), int)))
+    pairs = lambda p: {tuple(sorted(t)) for t in zip(*(v.tolist() for v in p))}
+    assert pairs(op10_simhash.near_in_parts(x, free)) == pairs(op10_simhash.near_pairs(x, np.zeros(len(x), int)))
+
+
+def test_ids_of_several_texts_are_several_documents(spark):
+    a, b = "one text of quite a few words here", "something else altogether that is not alike at all"
+    rows = [(3, a), (5, a), (5, b), (9, b), (None, "null has a text of its own"), (None, b), (9, "null has a text of its own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for dedup in (op10_simhash.dedup_near, op10_similar.dedup_similar):
+        assert Counter(map(tuple, dedup(df).collect())) == Counter([(3, a), (None, b), rows[4]])
 
 
 def test_near_components_edge_cases(spark, docs, nothing):
@@ -594,18 +602,18 @@ def test_similar_just_above_and_below_the_limit(spark):
     assert not wrong
 
 
-def test_groups_beyond_memory(monkeypatch):
+def test_groups_beyond_memory(monkeypatch, tmp_path):
     r = random.Random(6)
     base = [b"%d" % r.randrange(10**6) for _ in range(60)]
     texts = [[*base[:k], *(b"%d" % r.randrange(10**6) for _ in range(60 - k))] for k in (60, 58, 55, 54, 30, 29, 20)]
 
     def solved():
-        g = op10_similar.Group()
+        g = op10_similar.Group(f"file://{tmp_path}/shingles")
         for i, w in enumerate(texts):
-            g.add(i, op10_similar.sketch(b" ".join(w).decode())[2], op10_similar.shingles(w, 5))
-        return [x.tolist() for x in g.links(0.8)], g.file
+            g.add(b"%016d" % i, op10_similar.sketch(b" ".join(w).decode())[2], op10_similar.shingles(w, 5))
+        return [[int(x) for x in side] for side in g.links(0.8)], g.path
 
     whole, none = solved()
     monkeypatch.setattr(op10_similar, "HELD", 100)
     spilled, file = solved()
-    assert whole == spilled == [[1, 2, 3], [0, 0, 0]] and none is None and file is not None
+    assert whole == spilled == [[1, 2, 3], [0, 0, 0]] and none is None and file is not None and not list((tmp_path / 'shingles').iterdir())
