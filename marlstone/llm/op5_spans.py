@@ -108,10 +108,12 @@ def repeated(docs: DataFrame, words: int = WORDS, alone: int = ALONE, tails: boo
     """``_id``, ``_row`` and ``_spans``: the repeated spans of each document that has
     any."""
     found = stored(occurrences(docs, words, alone, tails), "span-runs")
+    many = found.groupBy("hi", "lo").count().where("count > 1").select("hi", "lo")
+    # One row a hash on the right; a hash that many runs have is split by AQE.  Few runs are repeated, so what follows is small.
+    again = stored(found.join(many, ["hi", "lo"]), "span-repeats")
     place = F.struct("doc_id", "row", "at")
-    first = found.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hi", "lo", "first")
-    # One row a hash on the right; a hash that many runs have is split by AQE.
-    again = found.join(first, ["hi", "lo"]).where(place != F.col("first"))
+    first = again.groupBy("hi", "lo").agg(F.min(place).alias("first"))
+    again = again.join(first, ["hi", "lo"]).where(place != F.col("first"))
     # No list is longer than the runs of one text.
     return again.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set(F.struct("at", "size")).alias("_spans"))
 
