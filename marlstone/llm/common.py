@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,26 @@ def with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
     return both.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], name)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs``, dealt out anew if its files have fewer row groups than there are
+    cores: these can't be split, and most cores would have nothing to do.  No more
+    footers are read than there are cores; a larger scan is left as it is."""
+    cores, files = docs.sparkSession.sparkContext.defaultParallelism, docs.inputFiles()
+    if not 0 < len(files) < cores:
+        return docs
+    groups = 0
+    for name in files:
+        at, path = file_at(name)
+        with at.open_input_file(path) as f:
+            groups += pq.ParquetFile(f).num_row_groups
+    return docs.repartition(2 * cores) if groups < cores else docs
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text of a folder's documents."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("cast(doc_id as bigint) doc_id", "text"))
+
+
 def file_at(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri.replace("file:///", "file:/").replace("file:/", "file:///"))
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import record, rows_of, slices, stored, with_lists
+from .common import documents, record, rows_of, slices, stored, with_lists
 from .components import components
 
 MANY = 1024
@@ -189,5 +189,5 @@ def dedup_near(docs: DataFrame, size: int = 3) -> DataFrame:
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component."""
-    got = near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    got = near_components(documents(spark, sf_dir))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import hold, record, slices, with_field
+from .common import documents, hold, record, slices, with_field
 from .encoders import PLAIN_WORD, WordEncoder, as_bytes, byte_level_pieces, cut_byte_level
 
 _NONE = np.int64(1) << 60
@@ -232,4 +232,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every whole text, and of the bytes they decode to."""
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))

@@ -13,12 +13,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import hold, record, rows_of, slices, windows, with_field
+from .common import documents, hold, record, slices, windows, with_field
+from .encoders import LONG, Words
 
 SPACE, PENALTY = "▁", 10.0
 
@@ -31,12 +34,12 @@ def read_pieces(path: str) -> list[tuple[str, float]]:
     return [(p.id_to_piece(i), p.get_score(i)) for i in range(p.get_piece_size())]
 
 
-class Counter(dict):
-    """Number of tokens of a word (a text between two spaces, with its mark)."""
+class Counter:
+    """Number of tokens of a word (a text between two spaces, with its mark).  The
+    words of a batch are numbered by Arrow, and each distinct one is looked up once."""
 
-    def __init__(self, pieces: list[tuple[str, float]], limit: int = 500_000):
-        super().__init__()
-        self.find, self.limit = ahocorasick.Automaton(), limit
+    def __init__(self, pieces: list[tuple[str, float]], limit: int = 1_000_000):
+        self.find, self.words = ahocorasick.Automaton(), Words(limit)
         for p, s in pieces:
             self.find.add_word(p, (len(p), s))
         self.find.make_automaton()
@@ -67,21 +70,32 @@ class Counter(dict):
                 best[end], tokens[end] = top, tokens[end - last] + 1
         return tokens[n]
 
-    def __missing__(self, word: str) -> int:
-        n = self.count(word)
-        if len(self) < self.limit and len(word) < 64:
-            self[word] = n
-        return n
+    def _new(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.fromiter((self.count(SPACE + w) for w in words.to_pylist()), np.uint32, len(words))
+        return n, np.arange(len(n)), np.ones(len(n), np.int64)
+
+    def texts(self, texts: pa.StringArray) -> np.ndarray:
+        """Tokens of each text.  A mark replaces each space, stands before the text,
+        and starts a word."""
+        texts = texts.cast(pa.string()).fill_null("")
+        if len(texts) and pc.max(pc.binary_length(texts)).as_py() > LONG:
+            return np.array([sum(int(self._texts(pa.array([w[1:] if i else w]), bool(i))[0]) for i, w in enumerate(windows(t.as_py(), LONG // 4))) for t in texts])
+        return self._texts(texts, False)
+
+    def _texts(self, texts: pa.StringArray, spaced: bool) -> np.ndarray:
+        """spaced: a space was cut off in front of each text."""
+        if not len(texts):
+            return np.zeros(0, np.int64)
+        lists = pc.split_pattern(pc.replace_substring(texts, " ", SPACE), SPACE)
+        d, at = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()[:-1]
+        pool, start, _ = self.words.look(d.dictionary, self._new)
+        n = pool[start].astype(np.int64)[d.indices.to_numpy()]
+        if not spaced:  # an empty first part is what stands before a mark of the text's own, or an empty text
+            n[at[pc.equal(pc.binary_length(lists.flatten().take(pa.array(at))), 0).to_numpy(zero_copy_only=False)]] = 0
+        return np.add.reduceat(n, at)
 
     def text(self, text: str) -> int:
-        """A mark replaces each space, stands before the text, and starts a word."""
-        n = 0
-        for i, part in enumerate(windows(text)):
-            words = part.replace(" ", SPACE).split(SPACE)
-            if part[:1] in (" ", SPACE) or i or not part:
-                del words[0]
-            n += sum(map(self.__getitem__, [SPACE + w for w in words]))
-        return n
+        return int(self.texts(pa.array([text]))[0])
 
 
 def counter(path: str) -> Counter:
@@ -98,8 +112,8 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", n_tokens: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for b in batches:
-            got = pa.array([c.text(t or "") for t in rows_of(b.column(at))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*keep, n_tokens])
+            for part in slices(b, text):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(c.texts(part.column(at)))], names=[*keep, n_tokens])
 
     return df.mapInArrow(run, with_field(df.schema, n_tokens, T.LongType()))
 
@@ -113,7 +127,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = counter(path)
         for whole in batches:
             for b in slices(whole, "text"):
-                yield record(schema, {"doc_id": b.column("doc_id"), "n_tokens": [c.text(t or "") for t in rows_of(b.column("text"))]})
+                yield record(schema, {"doc_id": b.column("doc_id"), "n_tokens": c.texts(b.column("text"))})
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("cast(doc_id as bigint) doc_id", "text")
+    docs = documents(spark, sf_dir)
     return docs.mapInArrow(run, "doc_id long, n_tokens long")

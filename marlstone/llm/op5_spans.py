@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import record, row_key, rows_of, slices, stored, with_lists
+from .common import documents, record, row_key, rows_of, slices, stored, with_lists
 
 WORDS, ALONE = 25, 50
 _GAP = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -165,7 +165,7 @@ def dedup_spans(docs: DataFrame, words: int = WORDS, alone: int = ALONE, tails:
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_sentences, n_removed (characters), removed (start and end of each
     stretch that went) and the text that stays, of each document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("cast(doc_id as bigint) doc_id", "text")
+    docs = documents(spark, sf_dir)
     df = with_lists(docs, repeated(docs, tails=True))
     stretch = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_sentences", pa.int64()), ("n_removed", pa.int64()), ("removed", stretch), ("text", pa.string())])

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_at, make_dir, record, row_key, rows_of, shared_path, slices, stored, with_lists
+from .common import documents, file_at, make_dir, record, row_key, rows_of, shared_path, slices, stored, with_lists
 
 STRIP = b" \t\n\v\f\r"
 RUN = np.dtype([("hi", "<i8"), ("lo", "<i8"), ("n", "<i8"), ("last", "<i8"), ("own", "i1")])
@@ -278,7 +278,7 @@ def dedup_lines(docs: DataFrame, least: int = 40, documents: int = 5, batches: i
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, dropped lines and what stays of each document, as ``dedup_lines`` has it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("cast(doc_id as bigint) doc_id", "text")
+    docs = documents(spark, sf_dir)
     df = with_lists(docs, surplus(docs))
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import get_file, make_dir, put_file, record, shared_path, slices, stored
+from .common import documents, get_file, make_dir, put_file, record, shared_path, slices, stored
 from .encoders import library_encoder, with_end
 
 
@@ -149,4 +149,4 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 0, tokens: int = 20
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in pieces of at most 2048 ids, packed; a null text is the end id."""
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))

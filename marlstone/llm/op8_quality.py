@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
-from .common import get_file, hold, make_dir, put_file, record, rows_of, shared_path, slices, windows, with_field
+from .common import documents, get_file, hold, make_dir, put_file, record, rows_of, shared_path, slices, windows, with_field
 
 BITS, WORD = 20, re.compile(r"\w+|[^\w\s]+")
 _MIX, _SHAPE, _PAIR, _AGAIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5)
@@ -210,7 +210,7 @@ def keep_good(docs: DataFrame, model: str, least: float = 0.3) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score, and whether it was held out of training."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 

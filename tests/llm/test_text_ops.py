@@ -18,8 +18,8 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from marlstone.llm import op1_bpe, op2_sst, op4_viterbi, op5_spans, op6_lines, op7_packing, op8_quality, op10_similar, op10_simhash
-from marlstone.llm.common import shared_path, windows
+from marlstone.llm import encoders, op1_bpe, op2_sst, op4_viterbi, op5_spans, op6_lines, op7_packing, op8_quality, op10_similar, op10_simhash
+from marlstone.llm.common import documents, shared_path, spread, windows
 from marlstone.llm.components import components
 from marlstone.llm.encoders import WordEncoder, library_encoder
 
@@ -90,6 +90,31 @@ def test_long_texts_are_cut_safely(own):
     assert ids(e.ids([text])[0]) == lib.encode_ordinary(text)
 
 
+def test_very_long_texts_go_in_parts(own, monkeypatch):
+    _, e, lib = own
+    counter = op4_viterbi.Counter(op4_viterbi.read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    lower = Tokenizer.from_file(LOWER)
+    texts = ["plain words and  odd\n  spaces ▁ ▁x, é" * 200, "x" * 5000, " y" * 3000, "short", "", "  " + "z " * 2000]
+    whole = [counter.text(t) for t in texts]
+    for module in (encoders, op4_viterbi):
+        monkeypatch.setattr(module, "LONG", 2000)
+    assert [ids(x) for x in e.ids(texts)] == [lib.encode_ordinary(t) for t in texts]
+    assert [ids(x) for x in library_encoder(LOWER, "lower").ids(texts)] == [x.ids for x in lower.encode_batch(texts, add_special_tokens=False)]
+    import pyarrow as pa
+
+    assert counter.texts(pa.array([*texts, None])).tolist() == [*whole, 0]
+
+
+def test_scans_that_cannot_be_split_are_spread(spark, tmp_path):
+    spark.range(100).selectExpr("id doc_id", "'t' text").repartition(1).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.range(100).selectExpr("id doc_id", "'t' text").repartition(9).write.parquet(f"{tmp_path}/b/documents.parquet")
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    one, many = documents(spark, f"{tmp_path}/a"), documents(spark, f"{tmp_path}/b")
+    assert "Repartition" in plan(one) and "Repartition" not in plan(many) and one.count() == many.count() == 100
+    memory = spark.range(3).selectExpr("id doc_id", "'t' text")
+    assert spread(memory) is memory
+
+
 def test_encode_operator(spark, docs, nothing):
     got = op1_bpe.encode(docs, MULTI, ids="score").collect()
     assert len(got) == len(DOCS) and got[1].score == [] and got[0]._id == "extra"
