@@ -12,15 +12,17 @@ FIELDS = "type_id long, type_path string, kind string, field_id long, field_name
 
 
 def fields(spark: SparkSession, bound: Bound) -> DataFrame:
-    """One row a field of a bound snapshot."""
+    """One row a field of a bound snapshot; a type without fields has a row without one."""
     rows = [(t["typeId"], "::".join(t["canonicalPath"]), t["kind"], f["fieldId"], f["canonicalName"], type_text(f["canonicalType"]), f["virtualFieldIndex"], to_json(_content(f))) for t in bound["types"] for f in t["fields"]]
+    rows += [(t["typeId"], "::".join(t["canonicalPath"]), t["kind"], None, None, None, None, None) for t in bound["types"] if not t["fields"]]
     return spark.createDataFrame(rows, FIELDS)
 
 
 def difference(old: DataFrame, new: DataFrame) -> DataFrame:
     """change, type_id, field_id between two frames of ``fields``: full outer joins
-    on the ids, each pair classified.  Fields of an added type are not listed."""
-    a, b = old.alias("a"), new.alias("b")
+    on the ids, each pair classified.  Fields of an added type are not listed; a row
+    without a field stands for its type alone."""
+    a, b = old.where("field_id is not null").alias("a"), new.where("field_id is not null").alias("b")
     both = a.join(b, (F.col("a.type_id") == F.col("b.type_id")) & (F.col("a.field_id") == F.col("b.field_id")), "full_outer")
     pick = lambda c: F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c)
     found = F.array_compact(F.array(

@@ -39,10 +39,12 @@ def enum_name(code: Column, names: dict[int, str]) -> Column:
     return F.element_at(F.create_map(*pairs), code.cast("int")) if pairs else F.lit(None).cast("string")
 
 
-def has_flag(bits: Column, mask: int) -> Column:
-    return bits.bitwiseAND(F.lit(mask)) == F.lit(mask)
+def has_flag(bits: Column, mask: Column | int) -> Column:
+    """Whether all bits of ``mask`` are set."""
+    m = F.lit(mask) if isinstance(mask, int) else mask
+    return bits.bitwiseAND(m) == m
 
 
 #: name -> (function, number of arguments); methods take their receiver first.
-METHODS = {"trim": (trim, 1), "lower": (lower, 1), "is_v7": (is_v7, 1)}
+METHODS = {"trim": (trim, 1), "lower": (lower, 1), "is_v7": (is_v7, 1), "has": (has_flag, 2)}
 FREE = {"now": (now, 0), "uuid": (uuid7, 0), "is_v7": (is_v7, 1)}

@@ -6,18 +6,20 @@ not otherwise: Catalyst would keep an unused left join."""
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, NullType
 
 from ..catalog.types import Model, TypeInfo
 from ..functions import scalar
 from ..operators import mutation
-from ..sources.tables import Source, literal_rows
+from ..sources.tables import Source, checked_rows, literal_rows
 from ..syntax import ast
 from ..syntax.parser import parse_program
-from .values import Change, Closure, Function, Objects, Row, Rows, Scalar, Shape, col, fail
+from .values import Change, Closure, Function, Objects, Row, Rows, Scalar, Shape, col, fail, found, required
 
 
 class Scope:
@@ -63,7 +65,8 @@ class Lowering:
 
     def __init__(self, model: Model, source: Source, params: dict[str, Any] | None = None):
         self.model, self.source, self.changed = model, source, {}
-        outer = {k: v if isinstance(v, (Rows, Objects)) else Scalar(v if isinstance(v, Column) else lit(v)) for k, v in (params or {}).items()}
+        outer = {k: v if isinstance(v, (Rows, Objects)) else Scalar(v) if isinstance(v, Column) else Scalar(lit(v), known=(v,)) for k, v in (params or {}).items()}
+        self.changes: list[tuple[str, Change]] = []  # what was done, in order
         self.scope = Scope(outer)
         self.depth = 0
 
@@ -95,7 +98,7 @@ class Lowering:
 
     def rows(self, t: TypeInfo) -> Rows:
         df = self.table(t)
-        return Rows(df, [f.name for f in t.fields], t, base=df)
+        return Rows(df, [f.name for f in t.fields], t, base=df, tie=[t.key.name] if t.key else [])
 
     # Values
     def value(self, e: ast.Node, scope: Scope) -> Any:
@@ -124,7 +127,7 @@ class Lowering:
         if e.name in m.types:
             return self.rows(m.types[e.name])
         if e.name in m.choices:
-            return Shape({c.name: Scalar(lit(c.value)) for c in m.choices[e.name].members})
+            return Shape({c.name: Scalar(lit(c.value), known=(c.value,)) for c in m.choices[e.name].members}, m.choices[e.name])
         if e.name in m.consts:
             return self.body(parse_program(m.consts[e.name].value), Scope())
         if e.name in m.operations:
@@ -134,8 +137,9 @@ class Lowering:
     def _Literal(self, e: ast.Literal, scope: Scope) -> Scalar:
         if e.kind == "Int":
             n = int(e.value.replace("_", ""), 0)
-            return Scalar(F.lit(n) if -(1 << 63) <= n < 1 << 63 else F.lit(str(n)).cast("decimal(20,0)"))
-        return Scalar(F.lit(float(e.value) if e.kind == "Float" else e.value))
+            return Scalar(F.lit(n), known=(n,)) if -(1 << 63) <= n < 1 << 63 else Scalar(F.lit(str(n)).cast("decimal(20,0)"))
+        value = float(e.value) if e.kind == "Float" else e.value
+        return Scalar(F.lit(value), known=(value,))
 
     def _Lambda(self, e: ast.Lambda, scope: Scope) -> Closure:
         return Closure(e.params, e.body, scope)
@@ -158,13 +162,13 @@ class Lowering:
                 raise fail(f"{t.name} has no field `{item.name}`", item.span)
             if item.name in given:
                 raise fail(f"field `{item.name}` is given twice", item.span)
-            given[item.name] = self.column(item.value, scope).column
+            given[item.name] = self.column(item.value, scope)
         for f in t.fields:
             if f.name not in given:
                 if f.default is not None:
-                    given[f.name] = self.column(parse_program(f.default).result, Scope()).column
+                    given[f.name] = self.column(parse_program(f.default).result, Scope())
                 elif f.optional:
-                    given[f.name] = F.lit(None)
+                    given[f.name] = Scalar(F.lit(None), known=(None,))
                 else:
                     raise fail(f"{t.name} needs field `{f.name}`", e.span)
         return Objects(t, [{f.name: given[f.name] for f in t.fields}], False)
@@ -181,7 +185,10 @@ class Lowering:
         return out
 
     def _StructProj(self, e: ast.StructProj, scope: Scope) -> Shape:
-        row = self.value(e.receiver, scope)
+        row, one = self.value(e.receiver, scope), None
+        if isinstance(row, Rows) and row.one:
+            one = row.fork()
+            row = Row(one, one.type)
         if isinstance(row, Scalar) and row.type:
             row = self._through(row, scope, e)
         if not isinstance(row, Row):
@@ -198,7 +205,7 @@ class Lowering:
                     out[n] = self._cell(row, n)
                 else:
                     raise fail(f"no field `{n}`", i.span)
-        return Shape(out)
+        return self._shaped(one, out, None) if one else Shape(out)
 
     def _Unary(self, e: ast.Unary, scope: Scope) -> Scalar:
         c = self.column(e.operand, scope).column
@@ -227,7 +234,7 @@ class Lowering:
 
     def _through(self, ref: Scalar, scope: Scope, e: ast.Node) -> Row:
         """The row that a reference leads to: joined to the rows, once a path."""
-        rows, t = scope.rows_here(), ref.type
+        rows, t = ref.entity.fork() if ref.entity else scope.rows_here(), ref.type
         if rows is None or t is None:
             raise fail("a reference is read from a row", e.span)
         if ref.path not in rows.joined:
@@ -235,7 +242,8 @@ class Lowering:
             target = self.table(t)
             target = target.select(*[col(f.name).alias(prefix + f.name) for f in t.fields])
             # Outer, whether the reference is optional or not: a key without target drops no row.
-            rows.df = rows.df.join(target, ref.column == col(prefix + t.key.name), "left")
+            key = col((rows.joined[ref.path[:-1]] if ref.path[:-1] else "") + ref.path[-1]) if ref.entity else ref.column
+            rows.df = rows.df.join(target, key == col(prefix + t.key.name), "left")
             rows.joined[ref.path] = prefix
             rows.sorted = not rows.keys
         return Row(rows, t, rows.joined[ref.path], ref.path)
@@ -246,12 +254,19 @@ class Lowering:
             if e.name not in v.fields:
                 raise fail(f"no member `{e.name}`", e.span)
             return v.fields[e.name]
+        entity = isinstance(v, Scalar) and v.entity is not None
+        if isinstance(v, Rows) and v.one:
+            if not v.must:
+                raise fail("the result of get is read after `?`", e.span)
+            v, entity = Row(v.fork(), v.type), True
         if isinstance(v, Scalar) and v.type:
             v = self._through(v, scope, e)
         if isinstance(v, Row):
             if e.name not in _fields(v):
                 raise fail(f"no field `{e.name}`", e.span)
-            return self._cell(v, e.name)
+            cell = self._cell(v, e.name)
+            # One row's field is a value wherever it is used: a subquery of one row, which fails if there is none.
+            return replace(cell, column=required(v.rows.df.select(cell.column.alias("value"))).scalar(), entity=v.rows) if entity else cell
         if isinstance(v, Scalar):
             return Scalar(v.column.getField(e.name), name=e.name)
         raise fail(f"no member `{e.name}`", e.span)
@@ -269,6 +284,8 @@ class Lowering:
         if not isinstance(c, ast.Member):
             raise fail("this can't be called", e.span)
         v = self.value(c.receiver, scope)
+        if isinstance(v, Shape) and v.choices and c.name == "name":
+            return Scalar(scalar.enum_name(*self._args(e, scope, 1), {m.value: m.name for m in v.choices.members}), name="name")
         if isinstance(v, (Rows, Objects)):
             do = getattr(self, f"_do_{c.name}", None)
             if do is None:
@@ -309,7 +326,7 @@ class Lowering:
     def _need_rows(self, v: Any, e: ast.Node) -> Rows:
         if isinstance(v, Objects):
             df = literal_rows(self.source.spark, self.model, v.type, v.rows)
-            return Rows(df, [f.name for f in v.type.fields], v.type)
+            return Rows(df, [f.name for f in v.type.fields], v.type, tie=[v.type.key.name] if v.type.key else [], made=True)
         return v
 
     def _do_filter(self, v: Any, e: ast.Call, scope: Scope) -> Rows:
@@ -327,25 +344,32 @@ class Lowering:
         rows, body, inner = self._each(self._need_rows(v, e), e, scope)
         got = self.value(body, inner)
         if isinstance(got, Objects):
-            cells = {k: Scalar(c) for k, c in got.rows[0].items()}
+            cells = got.rows[0]
         elif isinstance(got, Shape):
             cells = got.fields
         else:
             one = self._as_scalar(got, body)
             cells = {one.name or "value": one}
-        names = list(cells)
+        return self._shaped(rows, cells, got.type if isinstance(got, Objects) else None)
+
+    def _shaped(self, rows: Rows, cells: dict[str, Scalar], t: TypeInfo | None) -> Rows:
+        """Rows of these cells; what orders them and tells them apart stays behind them."""
         if not rows.sorted:
             rows.df, rows.sorted = rows.df.orderBy(*[col(k).asc_nulls_last() for k in rows.keys]), True
-        df = rows.df.select(*[cells[n].column.alias(n) for n in names], *[col(k).alias(k) for k in rows.keys])
-        return Rows(df, names, got.type if isinstance(got, Objects) else None, rows.keys, True, one=rows.one, must=rows.must)
+        ties = {k: k if k.startswith("__") else f"__tie_{k}" for k in rows.tie}
+        df = rows.df.select(*[c.column.alias(n) for n, c in cells.items()], *[col(k).alias(k) for k in rows.keys], *[col(k).alias(a) for k, a in ties.items() if a not in rows.keys])
+        return Rows(df, list(cells), t, rows.keys, True, one=rows.one, must=rows.must, tie=list(ties.values()), made=t is not None)
 
     def _do_sort_by(self, v: Any, e: ast.Call, scope: Scope) -> Rows:
         rows, body, inner = self._each(self._need_rows(v, e), e, scope)
         key = self.column(body, inner).column
-        old, rows.keys = rows.keys, ["__key0"]
-        df = rows.df.drop(*old).withColumn("__key0", key)
-        if rows.type and rows.type.key and rows.type.key.name in rows.columns:
-            df, rows.keys = df.withColumn("__key1", col(rows.type.key.name)), ["__key0", "__key1"]  # ties by key: take is the same each time
+        # Ties by the key of the row or of the row it was made from, else by all that is seen: take is the same each time.
+        ties = rows.tie or [f.name for f in rows.df.select(*map(col, rows.columns)).schema if isinstance(f.dataType, (AtomicType, NullType))]
+        df = rows.df.select("*", key.alias("__by"), *[col(k).alias(f"__then{i}") for i, k in enumerate(ties)]).drop(*[k for k in rows.keys if k not in ties])
+        names = ["__by", *(f"__then{i}" for i in range(len(ties)))]
+        df = df.drop(*[f"__key{i}" for i in range(len(names))]).withColumnsRenamed({n: f"__key{i}" for i, n in enumerate(names)})
+        rows.keys = [f"__key{i}" for i in range(len(names))]
+        rows.tie = rows.keys[1:] if rows.tie else []
         if df.isStreaming:
             raise fail("a stream can't be sorted", e.span)
         rows.df = df.orderBy(*[col(k).asc_nulls_last() for k in rows.keys])
@@ -354,11 +378,12 @@ class Lowering:
 
     def _do_take(self, v: Any, e: ast.Call, scope: Scope) -> Rows:
         rows = self._need_rows(v, e).fork()
-        if len(e.args) != 1 or not isinstance(e.args[0], ast.Literal) or e.args[0].kind != "Int":
-            raise fail("take needs a number", e.span)
+        known = self.column(e.args[0], scope).known if len(e.args) == 1 else ()
+        if not known or type(known[0]) is not int or not 0 <= known[0] < 1 << 31:
+            raise fail("take needs a whole number", e.span)
         if not rows.sorted:
             rows.df, rows.sorted = rows.df.orderBy(*[col(k).asc_nulls_last() for k in rows.keys]), True
-        rows.df, rows.base = rows.df.limit(int(e.args[0].value, 0)), None
+        rows.df, rows.base = rows.df.limit(known[0]), None
         return rows
 
     def _do_collect(self, v: Any, e: ast.Call, scope: Scope) -> Any:
@@ -393,12 +418,15 @@ class Lowering:
         return rows
 
     def _do_insert(self, v: Any, e: ast.Call, scope: Scope) -> Change:
-        if not isinstance(v, Objects):
+        if not isinstance(v, Objects) and not (isinstance(v, Rows) and v.made and v.type):
             raise fail("only constructed values are inserted", e.span)
         if v.type.kind != "table":
             raise fail(f"{v.type.name} is no table", e.span)
-        new = literal_rows(self.source.spark, self.model, v.type, v.rows)
-        return self._changed(mutation.insert(v.type, self.table(v.type), new, one=not v.many))
+        if isinstance(v, Objects):
+            new, one = literal_rows(self.source.spark, self.model, v.type, v.rows), not v.many
+        else:
+            new, one = checked_rows(self.model, v.type, v.frame()), v.one
+        return self._changed("insert", mutation.insert(v.type, self.table(v.type), new, one))
 
     def _target(self, v: Any, e: ast.Call) -> tuple[Rows, TypeInfo]:
         if not isinstance(v, Rows) or v.base is None or not v.type or v.type.kind != "table":
@@ -425,14 +453,23 @@ class Lowering:
         for name in got.fields:
             if not t.field(name):
                 raise fail(f"{t.name} has no field `{name}`", e.span)
-        return self._changed(mutation.update(t, rows.df, p, {k: x.column for k, x in got.fields.items()}, self.model.schema(t), v.one))
+        return self._changed("update", self._there(v, rows, p, mutation.update(t, rows.df, p, {k: x.column for k, x in got.fields.items()}, self.model.schema(t), v.one)))
 
     def _do_delete(self, v: Any, e: ast.Call, scope: Scope) -> Change:
         rows, t = self._target(v, e)
-        return self._changed(mutation.delete(t, rows.df, self._condition(rows), v.one))
+        p = self._condition(rows)
+        return self._changed("delete", self._there(v, rows, p, mutation.delete(t, rows.df, p, v.one)))
+
+    def _there(self, v: Rows, rows: Rows, p: Column, c: Change) -> Change:
+        """After `?`, the action on either frame fails if there is no such row."""
+        if not v.must:
+            return c
+        n = rows.df.where(p).limit(1).agg(F.count(F.lit(1)).alias("n")).scalar()
+        return replace(c, state=c.state.where(found(n)), affected=required(c.affected))
 
-    def _changed(self, c: Change) -> Change:
+    def _changed(self, what: str, c: Change) -> Change:
         self.changed[c.table.name] = c.state
+        self.changes.append((what, c))
         return c
 
 

@@ -28,6 +28,8 @@ class Scalar:
     type: TypeInfo | None = None  # of a reference: its target
     path: tuple[str, ...] = ()  # of a reference: the fields that lead here
     name: str | None = None
+    known: tuple[Any, ...] = ()  # the value, where it is known while lowering
+    entity: "Rows | None" = None  # of a field of one row that was got by key: that row
 
 
 @dataclass
@@ -45,6 +47,8 @@ class Rows:
     where: list[Callable[["Rows"], Column]] = field(default_factory=list)
     one: bool = False
     must: bool = False
+    tie: list[str] = field(default_factory=list)  # hidden columns that tell rows of equal sort keys apart
+    made: bool = False  # rows are constructed, not stored
 
     def frame(self) -> DataFrame:
         """The visible columns, in order."""
@@ -53,18 +57,24 @@ class Rows:
             df = required(df)
         return df.select(*map(col, self.columns)) if df.columns != self.columns else df
 
+    def hidden(self) -> list[str]:
+        return [*self.keys, *(c for c in self.tie if c not in self.keys)]
+
     def fork(self, **changes: Any) -> "Rows":
         return replace(self, joined=dict(self.joined), keys=list(self.keys), **changes)
 
 
+def found(n: Column) -> Column:
+    """True; where the count ``n`` is zero, the action fails."""
+    return F.when(n == 0, F.raise_error(F.lit("NotFound")).cast("boolean")).otherwise(F.lit(True))
+
+
 def required(df: DataFrame) -> DataFrame:
-    """``df``, whose action fails if it has no row.
+    """The row of ``df``, which has one at most; the action fails if it has none.
 
-    A count of at most one row is taken in the same job and cross-joined from the
-    left: one row on each side."""
-    n = df.limit(1).agg(F.count(F.lit(1)).alias("__n"))
-    checked = n.select(F.when(F.col("__n") == 0, F.raise_error(F.lit("NotFound"))).alias("__found"))
-    return checked.join(df.limit(1), how="left").where(F.col("__found").isNull()).drop("__found")
+    Row and count are one aggregate, so the table is read once and not joined."""
+    one = df.limit(1).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(*map(col, df.columns))).alias("__row"))
+    return one.where(found(F.col("__n"))).select(*[F.col("__row").getField(c).alias(c) for c in df.columns])
 
 
 @dataclass
@@ -88,9 +98,10 @@ class Objects:
 
 @dataclass
 class Shape:
-    """An object's fields."""
+    """An object's fields; of an enum or flags, its members."""
 
     fields: dict[str, Any]
+    choices: ast.Choices | None = None
 
 
 @dataclass
@@ -123,4 +134,4 @@ def fail(message: str, span: Span) -> BindError:
     return BindError(message, span)
 
 
-__all__ = ["BindError", "Change", "Closure", "Function", "Model", "Objects", "Row", "Rows", "Scalar", "Shape", "col", "fail", "required"]
+__all__ = ["BindError", "Change", "Closure", "Function", "Model", "Objects", "Row", "Rows", "Scalar", "Shape", "col", "fail", "found", "required"]

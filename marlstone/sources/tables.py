@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import posixpath
 from collections.abc import Callable
+from functools import reduce
+from types import NoneType
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..catalog.types import RANGES, Model, TypeInfo
-from ..plans.values import col
+from ..plans.values import Scalar, col
 
 
 class Source:
@@ -57,11 +59,34 @@ def _checked(c: Column, f: Any, model: Model) -> Column:
     return out
 
 
-def literal_rows(spark: SparkSession, model: Model, t: TypeInfo, rows: list[dict[str, Column]]) -> DataFrame:
-    """Constructed rows.  Their values are expressions on a one-row range, so ids
-    and times are made by Spark."""
-    out = None
+def _is_plain(v: Any) -> bool:
+    return isinstance(v, (bool, float, str, NoneType)) or isinstance(v, int) and -(1 << 63) <= v < 1 << 63
+
+
+def checked_rows(model: Model, t: TypeInfo, rows: DataFrame) -> DataFrame:
+    """Rows with the fields of a type, each of which is checked."""
+    return rows.select(*[_checked(col(f.name), f, model).alias(f.name) for f in t.fields])
+
+
+def literal_rows(spark: SparkSession, model: Model, t: TypeInfo, rows: list[dict[str, Scalar]]) -> DataFrame:
+    """Constructed rows.  What is known while lowering becomes a table of plain
+    values, however many rows there are; a row with any other value (an id or time to
+    be made by Spark, a list) is a struct of expressions.  All are checked as columns."""
+    plain, other, out = [], [], []
     for r in rows:
-        one = spark.range(1).select(*[_checked(r[f.name], f, model).alias(f.name) for f in t.fields])
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], model.schema(t))
+        (plain if all(x.known and _is_plain(x.known[0]) for x in r.values()) else other).append(r)
+    if plain:
+        columns, kinds = {}, []
+        for f in t.fields:
+            values = [r[f.name].known[0] for r in plain]
+            seen = {type(v) for v in values} - {NoneType}
+            kind = next((k for k, of in ((T.StringType(), {str}), (T.BooleanType(), {bool}), (T.LongType(), {int}), (T.DoubleType(), {int, float})) if seen <= of), T.StringType())
+            make = float if isinstance(kind, T.DoubleType) else str if isinstance(kind, T.StringType) else lambda v: v
+            columns[f.name] = [None if v is None else make(v) for v in values]
+            kinds.append(T.StructField(f.name, kind))
+        data = spark.createDataFrame(list(zip(*columns.values())), T.StructType(kinds))
+        out.append(checked_rows(model, t, data))
+    if other:
+        made = F.array(*[F.struct(*[_checked(r[f.name].column, f, model).alias(f.name) for f in t.fields]) for r in other])
+        out.append(spark.range(0, 1, 1, 1).select(F.inline(made)))
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], model.schema(t))

@@ -188,3 +188,15 @@ def test_builder_gives_the_same_model():
     for bad in (lambda: v.table("X", a=v.i32()), lambda: v.vector(0), lambda: v.table("1x", a=v.i32().primary())):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_difference_knows_types_without_fields(spark):
+    from marlstone.catalog import frames
+
+    def snapshot(source, ids):
+        return identity.bind(types(source), manifest([([n], i, "class", [(f, 10 * i + k, k) for k, f in enumerate(fs)]) for n, i, fs in ids]))
+
+    old = snapshot("class A { } class B { } class C { x: i32 }", [("A", 1, []), ("B", 2, []), ("C", 3, ["x"])])
+    new = snapshot("class A2 { } class C { } class D { }", [("A2", 1, []), ("C", 3, []), ("D", 4, [])])
+    got = frames.difference(frames.fields(spark, old), frames.fields(spark, new)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("fieldRemoved", 3, 30), ("typeRemoved", 2, None), ("typeAdded", 4, None), ("typeRenamed", 1, None)], key=str)

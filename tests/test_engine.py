@@ -214,3 +214,98 @@ def test_streams(engine, spark, tmp_path):
     assert sorted(map(tuple, spark.table("members_out").collect())) == [("a", "one"), ("c", "two"), ("d", None), ("e", None)]
     with pytest.raises(BindError):
         e.run("Member.sort_by(m => m.name)")
+
+
+def test_a_row_that_must_be_there(engine):
+    for program in ('Member.get("none")?.delete()', 'Member.get("none")?.update { name: "x" }', 'let m = Member.get("none")?\nm.update(x => { name: "y" })'):
+        for part in ("state", "affected"):
+            with pytest.raises(Exception, match="NotFound"):
+                getattr(engine.change(program), part).collect()
+    assert len(engine.change('Member.get("none").delete()').state.collect()) == 5
+    plan = engine.run('Member.get("a")?')._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Scan") == 1
+
+
+def test_fields_of_a_row_got_by_key(engine):
+    p = 'let m = Member.get("e")?\n'
+    assert rows(engine.run(p + "m.name")) == [("Cy",)]
+    assert rows(engine.run(p + "m.boss.boss.name")) == [("Ann ",)]
+    assert rows(engine.run(p + "m.{ name, logins, over: boss.name }")) == [("Cy", 5, "")]
+    assert ids(engine.run(p + "Member.filter(x => x.logins == m.logins && x.name == m.name)")) == ["c", "e"]
+    assert ids(engine.change(p + "Member.filter(x => x.logins < m.logins).update({ avatar: m.name })").affected) == ["a", "b"]
+    with pytest.raises(Exception, match="NotFound"):
+        engine.run('let m = Member.get("none")?\nMember.filter(x => x.name == m.name)').collect()
+    with pytest.raises(BindError):
+        engine.run('let m = Member.get("e")\nm.name')
+
+
+def test_rows_made_by_map_are_inserted(engine):
+    p = 'Team.map(t => Member { member_id: t.title, name: t.title, team: t.team_id, logins: t.team_id + 1 }).insert()'
+    c = engine.change(p)
+    assert sorted((r.member_id, r.logins, r.active) for r in c.affected.collect()) == [("one", 2, True), ("two", 3, True)] and c.state.count() == 7
+    for bad, why in (("member_id: \"x\", name: t.title, team: 1", "DuplicateKey"), ("member_id: t.title, name: t.lead, team: 1", "NullValue")):
+        with pytest.raises(Exception, match=why):
+            engine.change("Team.map(t => Member { " + bad + " }).insert()").affected.collect()
+    for bad in ("Member.insert()", "Member.map(m => m.{ name }).insert()", "Member.map(m => Point { x: 1, y: 2 }).insert()"):
+        with pytest.raises(BindError):
+            engine.run(bad)
+
+
+def test_many_constructed_rows(spark):
+    import time
+
+    e = Engine(spark, "table T { @@a: i64, b: utf8, c: f64?, d: u8 = 7 }", frames={"T": spark.createDataFrame([(-1, "x", 0.5, 1)], "a long, b string, c double, d int")})
+    program = "[" + ", ".join(f'T {{ a: {i}, b: "v{i}", c: {"null" if i % 3 else i} }}' for i in range(10_000)) + "].insert()"
+    start = time.time()
+    got = engine_rows = e.change(program).state
+    assert got.count() == 10_001 and time.time() - start < 30
+    assert engine_rows.where("a = 9").collect()[0].asDict() == {"a": 9, "b": "v9", "c": 9.0, "d": 7}
+    with pytest.raises(Exception, match="OutOfRange"):
+        e.run('[T { a: 1, b: "x", d: 3 }, T { a: 2, b: "x", d: 300 }]').collect()
+
+
+def test_take_by_parameter_and_ties_after_map(engine):
+    top = lambda n: [r[0] for r in rows(engine.run("Member.map(m => m.{ name, logins }).sort_by(m => m.logins).take(n).map(m => m.{ name, logins })", n=n))]
+    assert top(3) == ["", "Ann ", "Cy"] and top(0) == []
+    assert [r[1] for r in rows(engine.run("Member.map(m => m.{ logins, member_id }).sort_by(m => m.logins).take(4)"))] == ["b", "a", "c", "e"]
+    for bad in (-1, "3", True, 1.5, F.lit(2)):
+        with pytest.raises(BindError):
+            engine.run("Member.take(n)", n=bad)
+
+
+def test_enum_names_and_flags_in_programs(engine):
+    assert sorted(rows(engine.run("Member.map(m => m.{ member_id, level: Level.name(team), may: logins.has(Right.Read), both: logins.has(5) })")))[:3] == [("a", "Low", True, False), ("b", "Low", False, False), ("c", "High", True, True)]
+
+
+def test_commits(engine, spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}")
+    e = Engine(spark, engine.model, frames=engine.source.frames, store=store)
+    one = e.commit('Member { member_id: uuid(), name: "fresh", team: 1 }.insert()')
+    assert one.collect() == one.collect() and e.run("Member").count() == 6 and store.version("Member") == 2
+    new = one.collect()[0].member_id
+    e.commit("let gone = Member.filter(m => m.active).delete()\nlet t = Team.get(1)?.update { title: \"first\" }")
+    assert ids(e.run("Member")) == ["c", "d"] and dict(rows(e.run("Team.map(t => t.{ team_id, title })"))) == {1: "first", 2: "two"}
+    assert new in ids(store.read("Member", 2)) and store.version("Member") == 3
+    with pytest.raises(Exception, match="DuplicateKey"):
+        e.commit('Member { member_id: "c", name: "again", team: 1 }.insert()')
+    assert ids(e.run("Member")) == ["c", "d"]
+
+
+def test_no_commit_is_lost(engine, spark, tmp_path, monkeypatch):
+    store, other = SnapshotStore(spark, f"file://{tmp_path}"), SnapshotStore(spark, f"file://{tmp_path}")
+    e = Engine(spark, "table N { @@n: i64 }", frames={"N": lambda: store.read("N")})
+    store.write("N", spark.range(3).toDF("n"))
+    parts, second = store.parts, e.change("N { n: 200 }.insert()")
+
+    def late(table, version):  # another writer commits while this one is under way
+        found = parts(table, version)
+        monkeypatch.setattr(store, "parts", parts)
+        other.append(e.change("N { n: 100 }.insert()"))
+        return found
+
+    monkeypatch.setattr(store, "parts", late)
+    with pytest.raises(Conflict):
+        store.append(second)
+    store.append(e.change("N { n: 200 }.insert()"))
+    assert sorted(r.n for r in store.read("N").collect()) == [0, 1, 2, 100, 200]
+    assert sorted(x.name for x in (tmp_path / "N/versions").iterdir() if x.name[0] != ".") == ["1", "2", "3"]
