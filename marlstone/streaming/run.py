@@ -5,6 +5,8 @@ still, need no state and no watermark; ``sort_by`` is refused while lowering."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,16 @@ class StreamEngine(Engine):
             self.source.frames[name] = spark.readStream.schema(schema).parquet(folder)
 
 
+def working_folder(spark: SparkSession) -> str:
+    """A new folder in ``spark.checkpoint.dir``; only where that is unset, on one
+    machine, a temporary one."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    root = root or tempfile.mkdtemp(prefix="marlstone-stream-")
+    return f"{root if ':' in root else 'file://' + root}/stream-{uuid.uuid4().hex}"
+
+
 def start(df: DataFrame, checkpoint: str, path: str | None = None, name: str | None = None) -> StreamingQuery:
     """Runs a streaming result over what there is: to Parquet files at ``path``
     (each row once), or to a table in memory for tests."""

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..catalog import frames, identity
 from ..catalog.model import OWN
-from ..functions.scalar import enum_name, has_flag, is_v7
+from ..functions.scalar import is_v7
 from ..session import Engine
+from ..streaming.run import StreamEngine, start, working_folder
 from .models import WAREHOUSE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +74,14 @@ _add("enum_compare", "Labels.filter(l => l.quality == Quality.Good).map(l => l.{
 _add("let_chain", "let a = Orders.filter(o => o.o_totalprice > 100000)\nlet b = a.filter(o => o.o_orderstatus == \"O\")\nlet c = b.map(o => o.{ o_orderkey, o_custkey })\nc", "SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'O'")
 _add("change_then_read", 'let gone = Supplier.filter(s => s.s_acctbal < 0).delete()\nSupplier.map(s => s.{ s_suppkey, s_acctbal })', "SELECT s_suppkey, s_acctbal FROM supplier WHERE NOT coalesce(s_acctbal < 0, false)")
 
+_add("insert_mapped", "Region.map(r => Nation { n_nationkey: r.r_regionkey + 100, n_name: r.r_name.lower(), n_regionkey: r.r_regionkey }).insert()", "SELECT CAST(r_regionkey + 100 AS INTEGER) AS n_nationkey, lower(r_name) AS n_name, r_regionkey AS n_regionkey FROM region")
+_add("take_param", "Orders.sort_by(o => o.o_totalprice).take(n).map(o => o.{ o_orderkey, o_totalprice })", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice NULLS LAST, o_orderkey LIMIT 30", n=30)
+_add("sort_after_map", "Orders.map(o => o.{ o_orderpriority, o_totalprice }).sort_by(o => o.o_orderpriority).take(40)", "SELECT o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority NULLS LAST, o_orderkey LIMIT 40")
+_add("entity_read", "let c = Customer.get(4)?\nOrders.filter(o => o.o_totalprice < c.c_acctbal).map(o => o.{ o_orderkey, name: c.c_name, nation: c.c_nationkey.n_name })", "SELECT o_orderkey, c_name AS name, n_name AS nation FROM orders, customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 4 AND o_totalprice < c_acctbal")
+_add("entity_projection", "let o = Orders.get(5)?\no.{ o_orderkey, who: o_custkey.c_name }", "SELECT o_orderkey, c_name AS who FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderkey = 5")
+_add("enum_name", "Labels.map(l => l.{ doc_id, name: Quality.name(quality) })", "SELECT doc_id, CASE quality WHEN 0 THEN 'Poor' WHEN 1 THEN 'Good' END AS name FROM labels")
+_add("flag_has", "Part.filter(p => p.p_size.has(SizeBit.Four) && p.p_size.has(8)).map(p => p.{ p_partkey, p_size, even: !p.p_size.has(SizeBit.One) })", "SELECT p_partkey, p_size, (p_size & 1) = 0 AS even FROM part WHERE (p_size & 12) = 12")
+
 STATES: dict[str, tuple[str, str, str]] = {
     "state_after_insert": ("Region", 'Region { r_regionkey: 77, r_name: "WEST" }.insert()', "SELECT * FROM region UNION ALL SELECT 77, 'WEST'"),
     "state_after_update": ("Orders", 'Orders.filter(o => o.o_orderstatus == "P").update(o => { o_totalprice: o.o_totalprice + 1 })', "SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM orders"),
@@ -104,14 +113,65 @@ def _query_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir).query("customers_of", segment="AUTOMOBILE", least=1000.0)
 
 
-def _enum_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = engine(spark, sf_dir).run("Labels.map(l => l.{ doc_id, quality })")
-    return df.select("doc_id", enum_name(F.col("quality"), {0: "Poor", 1: "Good"}).alias("name"))
+_NOTES = """
+table Note { @@note_id: i64, @title: utf8, kind: utf8 = "plain", weight: f64 = 1.5, level: u8 = 3, parent: &Note? = null, more: utf8? }
+class Entry { key: i64, label: utf8, price: f64 }
+"""
+
+
+def _insert_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state after rows made from a table were inserted: defaults, and keys and
+    unique fields that are checked against what there was."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS key", "concat('order ', o_orderkey) AS label", "o_totalprice AS price")
+    old = spark.range(5).selectExpr("-1 - id AS note_id", "concat('old ', id) AS title", "'x' AS kind", "0D AS weight", "1 AS level", "cast(null AS bigint) AS parent", "cast(null AS string) AS more")
+    e = Engine(spark, _NOTES, frames={"Entry": orders, "Note": old})
+    return e.states("Entry.filter(s => s.price > 200000).map(s => Note { note_id: s.key, title: s.label }).insert()")["Note"]
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that a stream of events and a table that stands still give, run to its end."""
+    e = StreamEngine(spark, WAREHOUSE, sf_dir, {"Events": f"{sf_dir}/event[s].parquet"})  # a pattern: a stream takes no single file by its name
+    df, at = e.run("Events.filter(e => e.value > 20).map(e => e.{ event_id, kind: event_type.lower(), who: user_id.c_name })"), working_folder(spark)
+    start(df, f"{at}/checkpoint", f"{at}/out").awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{at}/out")
+
+
+def _catalog_warehouse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's fields as a bound catalog has them."""
+    from ..catalog import projection
+
+    types = projection.project_schema(projection.parse(WAREHOUSE))
+    ids = _manifest([(t["canonicalPath"], i, t["kind"], [(f["canonicalName"], 100 * i + k, k) for k, f in enumerate(t["fields"])]) for i, t in enumerate(types, 1)])
+    df = frames.fields(spark, identity.bind(types, ids))
+    return df.where("type_path <> 'warehouse::Embeddings'").select(F.lower(F.element_at(F.split("type_path", "::"), -1)).alias("type"), "field_name", F.col("slot").alias("slot"))
+
+
+_OLD_FIELDS = "SELECT CAST(p_size AS BIGINT) AS type_id, concat('T', p_size) AS type_path, 'table' AS kind, CAST(p_partkey AS BIGINT) AS field_id, p_name AS field_name, p_brand AS content FROM {part}"
+_NEW_FIELDS = "SELECT type_id, CASE WHEN type_id % 4 = 0 THEN concat(type_path, 'x') ELSE type_path END AS type_path, CASE WHEN type_id % 9 = 0 THEN 'class' ELSE kind END AS kind, field_id, CASE WHEN field_id % 5 = 0 THEN concat(field_name, '2') ELSE field_name END AS field_name, CASE WHEN field_id % 3 = 0 THEN 'other' ELSE content END AS content FROM {old} WHERE field_id % 7 <> 0 AND type_id <> 13 UNION ALL SELECT CASE WHEN field_id % 2 = 0 THEN type_id ELSE 1000 + type_id END, CASE WHEN field_id % 2 = 0 THEN CASE WHEN type_id % 4 = 0 THEN concat(type_path, 'x') ELSE type_path END ELSE concat('N', type_id) END, CASE WHEN field_id % 2 = 0 AND type_id % 9 = 0 THEN 'class' ELSE kind END, 10000000 + field_id, field_name, content FROM {old} WHERE field_id % 11 = 0 AND type_id <> 13"
+
+
+def _catalog_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two large snapshots, made from a table, compared."""
+    old = spark.sql(_OLD_FIELDS.format(part="{part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    return frames.difference(old, spark.sql(_NEW_FIELDS, old=old))
 
 
-def _flag_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = engine(spark, sf_dir).run("Part.map(p => p.{ p_partkey, p_size })")
-    return df.where(has_flag(F.col("p_size").cast("long"), 4 | 8)).select("p_partkey", "p_size")
+_CATALOG_DIFF_SQL = f"""
+WITH o AS ({_OLD_FIELDS.format(part='part')}), n AS ({_NEW_FIELDS.format(old='o')}),
+f AS (SELECT coalesce(o.type_id, n.type_id) AS type_id, coalesce(o.field_id, n.field_id) AS field_id, o.field_id AS a, n.field_id AS b, o.field_name AS na, n.field_name AS nb, o.content AS ca, n.content AS cb
+      FROM o FULL JOIN n ON o.type_id = n.type_id AND o.field_id = n.field_id),
+kept AS (SELECT * FROM f WHERE type_id IN (SELECT type_id FROM o)),
+t AS (SELECT coalesce(x.type_id, y.type_id) AS type_id, x.type_id AS a, y.type_id AS b, x.type_path AS pa, y.type_path AS pb, x.kind AS ka, y.kind AS kb
+      FROM (SELECT DISTINCT type_id, type_path, kind FROM o) x FULL JOIN (SELECT DISTINCT type_id, type_path, kind FROM n) y ON x.type_id = y.type_id)
+SELECT 'fieldRemoved' AS change, type_id, field_id FROM kept WHERE b IS NULL UNION ALL
+SELECT 'fieldAdded', type_id, field_id FROM kept WHERE a IS NULL UNION ALL
+SELECT 'fieldRenamed', type_id, field_id FROM kept WHERE na <> nb UNION ALL
+SELECT 'fieldChanged', type_id, field_id FROM kept WHERE ca <> cb UNION ALL
+SELECT 'typeRemoved', type_id, NULL FROM t WHERE b IS NULL UNION ALL
+SELECT 'typeAdded', type_id, NULL FROM t WHERE a IS NULL UNION ALL
+SELECT 'typeRenamed', type_id, NULL FROM t WHERE pa <> pb UNION ALL
+SELECT 'typeKindChanged', type_id, NULL FROM t WHERE ka <> kb
+"""
 
 
 def _catalog_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,8 +200,10 @@ def _now(spark: SparkSession, sf_dir: str) -> DataFrame:
 OTHERS: dict[str, tuple[Query, str]] = {
     "affected_count": (_affected_count, "SELECT count(*) AS affected FROM orders WHERE o_totalprice < 50000"),
     "query_params": (_query_params, "SELECT * FROM customer WHERE c_mktsegment = 'AUTOMOBILE' AND c_acctbal > 1000"),
-    "enum_decode": (_enum_decode, "SELECT doc_id, CASE quality WHEN 0 THEN 'Poor' WHEN 1 THEN 'Good' END AS name FROM labels"),
-    "flag_test": (_flag_test, "SELECT p_partkey, p_size FROM part WHERE (p_size & 12) = 12"),
+    "insert_defaults": (_insert_defaults, "SELECT o_orderkey AS note_id, 'order ' || o_orderkey AS title, 'plain' AS kind, 1.5::DOUBLE AS weight, 3 AS level, NULL::BIGINT AS parent, NULL::VARCHAR AS more FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT -1 - i, 'old ' || i, 'x', 0, 1, NULL, NULL FROM range(5) r(i)"),
+    "stream_map": (_stream, "SELECT event_id, lower(event_type) AS kind, c_name AS who FROM events LEFT JOIN customer ON user_id = c_custkey WHERE value > 20"),
+    "catalog_warehouse": (_catalog_warehouse, "SELECT DISTINCT table_name AS type, column_name AS field_name, CAST(ordinal_position - 1 AS BIGINT) AS slot FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'supplier', 'customer', 'part', 'orders', 'lineitem', 'events', 'documents', 'labels')"),
+    "catalog_diff": (_catalog_diff, _CATALOG_DIFF_SQL),
     "catalog_fields": (_catalog_fields, "SELECT type_path, CAST(field_id AS BIGINT) AS field_id, field_name, type, CAST(slot AS BIGINT) AS slot FROM (VALUES ('User', 10, 'user_id', 'uuid', 0), ('User', 11, 'user_name', 'utf8', 1), ('User', 12, 'old', 'i32', 2), ('Extra', 20, 'note', 'utf8', 0)) t(type_path, field_id, field_name, type, slot)"),
     "identity_diff": (_identity_diff, "SELECT change, CAST(type_id AS BIGINT) AS type_id, CAST(field_id AS BIGINT) AS field_id FROM (VALUES ('fieldRenamed', 1, 11), ('fieldChanged', 1, 11), ('fieldRemoved', 1, 12), ('fieldAdded', 1, 13), ('fieldRemoved', 2, 20), ('typeRenamed', 1, NULL), ('typeRemoved', 2, NULL)) t(change, type_id, field_id)"),
     "identity_tombstones": (_tombstones, "SELECT what, CAST(type_id AS BIGINT) AS type_id, CAST(field_id AS BIGINT) AS field_id, CAST(retired_at AS BIGINT) AS retired_at FROM (VALUES ('type', 2, NULL, 1), ('field', 1, 12, 1), ('field', 2, 20, 1)) t(what, type_id, field_id, retired_at)"),
