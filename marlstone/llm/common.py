@@ -142,7 +142,7 @@ def rows_of(column: pa.Array | pa.ChunkedArray, step: int = 128) -> Iterator[obj
         yield from column.slice(i, step).to_pylist()
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20, rows: int = 8192) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20, rows: int = 8192) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows with about ``most`` bytes of ``column``."""
     sizes = batch.column(column).nbytes / max(1, batch.num_rows)
     step = max(1, min(rows, int(most / max(1.0, sizes))))

@@ -100,7 +100,7 @@ class WordEncoder:
     after another with null characters between or around them; other texts are
     split one by one."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]], plain: str = r"^\z", cut: Callable[[pa.StringArray], pa.StringArray] = lambda x: x, words: int = 1_000_000, pieces: int = 1_000_000):
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]], plain: str = r"^\z", cut: Callable[[pa.StringArray], pa.StringArray] = lambda x: x, words: int = 400_000, pieces: int = 400_000):
         self.split, self.encode, self.plain, self.cut = split, encode, plain, cut
         self.words, self.pieces = Words(words), Words(pieces)
 

@@ -38,7 +38,7 @@ class Counter:
     """Number of tokens of a word (a text between two spaces, with its mark).  The
     words of a batch are numbered by Arrow, and each distinct one is looked up once."""
 
-    def __init__(self, pieces: list[tuple[str, float]], limit: int = 1_000_000):
+    def __init__(self, pieces: list[tuple[str, float]], limit: int = 400_000):
         self.find, self.words = ahocorasick.Automaton(), Words(limit)
         for p, s in pieces:
             self.find.add_word(p, (len(p), s))
